@@ -33,6 +33,7 @@ def match_by_key(rows: DataFrame, scope: list[str], key: str) -> DataFrame:
 
 def number_entities(matched: DataFrame, scope: list[str]) -> DataFrame:
     """Add ``gid`` to rows matched to entities."""
+    matched = materialize(matched, "matched")
     created = matched.where((F.col("src") == F.col("ent_src")) & (F.col("pk") == F.col("ent_pk")))
     ids = allocate_ids(created.select(*scope, "ent_src", "ent_pk"), scope, ["ent_src", "ent_pk"])
     return matched.join(ids, [*scope, "ent_src", "ent_pk"])
