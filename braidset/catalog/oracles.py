@@ -530,6 +530,12 @@ def _conflict_rows(cands: str, pick: str, field: bool = False) -> str:
 _CAND = "conflict_id, src, pk, label, gid, timestamp, timestamp_source, backup_timestamp"
 _FRESH_GUID = guid("(conflict_id || ':' || src)")
 
+def _digest(table: str) -> str:
+    row = ", ".join(f"coalesce(CAST({c} AS VARCHAR), chr(30))" for c in schema.columns(table))
+    lanes = ", ".join(f"sum(CAST('0x' || substr(r, {1 + 16 * i}, 15) AS BIGINT))" for i in range(4))
+    return f"""SELECT count(*) AS n, sha256(concat_ws('/', count(*), {lanes})) AS digest FROM (SELECT sha256(concat_ws({_SEP}, {row})) AS r FROM m_{table})"""
+
+
 _RULES = " UNION ALL ".join(
     f"SELECT src, '{t}' AS \"table\", '{n}' AS rule, count(*) FILTER (NOT coalesce({r}, true)) AS violations FROM s_{t} GROUP BY src"
     for t, n, r in schema.ROW_RULES
@@ -596,6 +602,12 @@ _TS_MS = """CASE event_id % 6 WHEN 0 THEN ms WHEN 1 THEN ms + 123 WHEN 2 THEN ms
 _MARKS = "CAST(2 * ColorIndex - 2 AS INT)"
 _SIZE = "CAST(floor(o_totalprice * pow(8.0, o_orderkey % 8)) AS BIGINT)"
 
+def _short(value: str) -> str:
+    """One decimal below 100, none from there on, halves rounded up as the reference does."""
+    v = f"CAST({value} AS DOUBLE)"
+    return f"CASE WHEN {v} >= 100 THEN printf('%.0f', floor({v} + 0.5)) ELSE printf('%.1f', floor({v} * 10 + 0.5) / 10) END"
+
+
 _MANIFEST_VERSION = "CASE WHEN event_id % 5 = 0 OR event_id % 7 = 0 THEN NULL ELSE CAST(json_extract_string(props, '$.k') AS INT) END"
 _MANIFEST_BAD = ("CASE WHEN event_id % 9 = 0 THEN 'not valid JSON' WHEN event_id % 10 = 0 THEN 'no userDataBackup' "
                  f"WHEN {_MANIFEST_VERSION} IS NULL THEN 'no numeric userDataBackup.schemaVersion' END")
@@ -674,10 +686,15 @@ _FINAL = {
         FROM (SELECT e.*, f.n - coalesce(l.n, 0) AS final, coalesce(l.n, 0) AS removed FROM expect e JOIN final_n f USING ("table") LEFT JOIN lost l USING ("table"))""",
     "roundtrip": "SELECT \"table\", n AS expected, n AS final, true AS same FROM final_n",
     "idempotent_remerge": "SELECT \"table\", n FROM final_n",
-    "traceability": """SELECT s."table", 0 AS untraced, 0 AS missing, 0 AS leaked, CAST(coalesce(sum(dropped), 0) AS BIGINT) AS dropped
+    "traceability": """SELECT s."table", CAST(0 AS BIGINT) AS untraced, CAST(0 AS BIGINT) AS missing, CAST(0 AS BIGINT) AS leaked, CAST(coalesce(sum(dropped), 0) AS BIGINT) AS dropped
         FROM source_n s LEFT JOIN dropped d ON d.src = s.src AND d."table" = s."table" GROUP BY s."table\"""",
-    "content_digest": f"""WITH h AS (SELECT sha256(concat_ws({_SEP}, {', '.join(f'coalesce(CAST({c} AS VARCHAR), chr(30))' for c in schema.columns('Location'))})) AS r FROM m_Location)
-        SELECT count(*) AS n, sha256(concat_ws('/', count(*), {', '.join(f"sum(CAST('0x' || substr(r, {1 + 16 * i}, 15) AS BIGINT))" for i in range(4))})) AS digest FROM h""",
+    "content_digest": _digest("Location"),
+    "fingerprint": " UNION ALL ".join(f"SELECT '{t}' AS \"table\", * FROM ({_digest(t)})" for t in schema.TABLES),
+    "validation_report": f"""SELECT bad + fk = 0 AS ok, fk AS foreign_key_violations, bad + CAST(fk > 0 AS INT) AS n_errors FROM
+        (SELECT count(*) AS bad FROM expect e JOIN final_n f USING ("table") WHERE f.n > sum_source OR (f.n < max_carried AND "table" <> 'BlockRange')),
+        (SELECT CAST(sum(violations) AS BIGINT) AS fk FROM ({_FK_MERGED}))""",
+    "output_manifest": """SELECT 'UserdataBackup_2026-09-06_Merged.zip' AS name, 1 AS version, 0 AS type, '2026-09-06T15:00:00+00:00' AS "lastModifiedDate",
+        'Merged (' || count(*) || ' backups)' AS "deviceName", 'userData.db' AS "databaseName", 16 AS "schemaVersion" FROM s_sources""",
     "compatibility": """SELECT true AS ok, 0 AS n_errors, 'migration levels differ: ' || string_agg(label || ' = ' || MigrationId, ', ' ORDER BY i.src) AS warnings, 16 AS schema_version,
         1 AS template_src, 'v16' AS migration_id, 16 AS user_version, arg_max(i.LastModified, epoch_ms(CAST(i.LastModified AS TIMESTAMPTZ))) AS latest_last_modified, count(*) AS n_sources
         FROM info i JOIN s_sources s ON s.src = i.src""",
@@ -714,9 +731,9 @@ _FINAL = {
         WHEN regexp_matches(n, 'desktop|laptop|macbook|imac|\\bmac\\b|windows|\\bpc\\b|book|surface') THEN 'desktop' ELSE 'unknown' END AS kind
         FROM (SELECT event_id, lower(['My iPad', 'iPhone 15', 'tab s9', 'Windows PC', 'iMac', 'stable', 'Pixel tablet', 'x', 'MacBook', 'phone'][user_id % 10 + 1] || ' of ' || event_type) AS n FROM events)""",
     "format_bytes": f"""SELECT o_orderkey, size, format('{{:,}}', size) || CASE WHEN size = 1 THEN ' byte' ELSE ' bytes' END AS plural,
-        CASE WHEN size < 1024 THEN size || ' B' WHEN size < 1048576 THEN printf(CASE WHEN size / 1024.0 >= 100 THEN '%.0f' ELSE '%.1f' END, CAST(size / 1024.0 AS DOUBLE)) || ' KB'
-          WHEN size < 1073741824 THEN printf(CASE WHEN size / 1048576.0 >= 100 THEN '%.0f' ELSE '%.1f' END, CAST(size / 1048576.0 AS DOUBLE)) || ' MB'
-          ELSE printf(CASE WHEN size / 1073741824.0 >= 100 THEN '%.0f' ELSE '%.1f' END, CAST(size / 1073741824.0 AS DOUBLE)) || ' GB' END AS text FROM (SELECT o_orderkey, {_SIZE} AS size FROM orders)""",
+        CASE WHEN size < 1024 THEN size || ' B' WHEN size < 1048576 THEN {_short('size / 1024.0')} || ' KB'
+          WHEN size < 1073741824 THEN {_short('size / 1048576.0')} || ' MB'
+          ELSE {_short('size / 1073741824.0')} || ' GB' END AS text FROM (SELECT o_orderkey, {_SIZE} AS size FROM orders)""",
     "color_dim": f"""SELECT coalesce(c.name, 'Colour ' || {_MARKS}) AS name, coalesce(c.hex, '#9aa3b8') AS hex, count(*) AS n FROM s_UserMark
         LEFT JOIN (VALUES {', '.join(f"({i}, '{n}', '{h}')" for i, n, h in HIGHLIGHT_COLORS)}) c(i, name, hex) ON c.i = {_MARKS} GROUP BY ALL""",
     "split_ext": f"SELECT page_id, substr(url, 1, length(url) - length({ext('url')})) AS base, {ext('url')} AS ext, lower(url) AS path_key FROM pages",

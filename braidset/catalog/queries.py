@@ -157,7 +157,12 @@ def _reconcile_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _validation(spark: SparkSession, sf: str) -> DataFrame:
-    done = validate.validation_report(validate.fk_violations(_cleaned(spark, sf, *cleanup.DEFAULTS).tables, []), _reconcile(spark, sf), [])
+    """Verdict on the default result, before any clean-up."""
+    a, result = analysis(spark, sf), _default(spark, sf)
+    counts = validate.reconcile_counts(
+        report.source_counts(a), report.dropped_counts(a), fin.table_counts(result.tables, []), None, []
+    )
+    done = validate.validation_report(validate.fk_violations(result.tables, []), counts, [])
     return done.select("ok", F.col("foreign_key_violations").cast("bigint").alias("foreign_key_violations"),
                        F.size("errors").cast("bigint").alias("n_errors"))
 
@@ -181,13 +186,14 @@ def _traceability(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _remerge(spark: SparkSession, sf: str) -> DataFrame:
-    """Counts after reconciling the default result with its own sources once more."""
+    """Counts after the default result arrives once more as a late snapshot of itself."""
     a, result = analysis(spark, sf), _default(spark, sf)
     about = a.compatibility.select(
         F.lit("merged.zip").alias("FileName"), F.lit("Merged").alias("DeviceName"), F.col("schema_version").alias("SchemaVersion"),
         F.col("migration_id").alias("MigrationId"), F.col("user_version").alias("UserVersion"), F.col("latest_last_modified").alias("LastModified"),
     )
-    again = merge_increment(result.tables, about, a.tables, derive.derived(spark, sf, "sources"))
+    late = {name: df.withColumn("src", F.lit(0)) for name, df in result.tables.items()}
+    again = merge_increment(result.tables, about, late, about.withColumn("src", F.lit(0)))
     return fin.table_counts(fin.finalize(again).tables, [])
 
 
@@ -321,7 +327,7 @@ def _manifest(spark: SparkSession, sf: str) -> DataFrame:
     a = analysis(spark, sf)
     made = io.build_manifest(a.compatibility, validate.fingerprint(_default(spark, sf).tables, []), [], 1_788_706_800_000)
     read = manifest.parse_manifest(made, "manifest")
-    return read.select("name", "creationDate", "version", "type", "lastModifiedDate", "deviceName", "databaseName", "schemaVersion")
+    return read.select("name", "version", "type", "lastModifiedDate", "deviceName", "databaseName", "schemaVersion")
 
 
 def _admit(spark: SparkSession, sf: str) -> DataFrame:
