@@ -24,13 +24,13 @@ def parse_ts(c: Column | str) -> Column:
 
     A date-time without an offset is read as UTC, whatever the session zone is.
     """
-    text = normalize_ts(c)
+    text = F.regexp_replace(normalize_ts(c), r"(T\d{2}:\d{2})(Z|[+-]\d{2}:\d{2}|)$", "$1:00$2")
     zoned = (
         F.when(text.rlike(r"^\d{4}$"), F.concat(text, F.lit("-01-01T00:00:00Z")))
         .when(text.rlike(r"^\d{4}-\d{2}$"), F.concat(text, F.lit("-01T00:00:00Z")))
         .when(text.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.concat(text, F.lit("T00:00:00Z")))
-        .when(text.rlike(r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}(:\d{2}(\.\d{1,3})?)?$"), F.concat(text, F.lit("Z")))
-        .when(text.rlike(r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}(:\d{2}(\.\d{1,3})?)?(Z|[+-]\d{2}:\d{2})$"), text)
+        .when(text.rlike(r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}(:\d{2}(\.\d{1,3})?)$"), F.concat(text, F.lit("Z")))
+        .when(text.rlike(r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}(:\d{2}(\.\d{1,3})?)(Z|[+-]\d{2}:\d{2})$"), text)
     )
     return F.unix_millis(F.try_to_timestamp(zoned))
 

@@ -81,12 +81,15 @@ def _fold(rows: DataFrame, group: list[str], taken: DataFrame | None, chunk: int
         free.select(*group, F.lit(1).alias("kind"), "slot", "until")
     )
 
+    # Fresh column names: both sides come from the same tables.
+    state = state.select(*[F.col(c).alias(f"_of_{c}") for c in group], "kind", "slot", "until")
+
     def with_state(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         used = set(right.loc[right["kind"] == 0, "slot"].tolist())
         gaps = right.loc[right["kind"] == 1].sort_values("slot")[["slot", "until"]].values.tolist()
         return _place(left, used, gaps)
 
-    return rows.groupBy(*group).cogroup(state.groupBy(*group)).applyInPandas(with_state, schema)
+    return rows.groupBy(*group).cogroup(state.groupBy(*[f"_of_{c}" for c in group])).applyInPandas(with_state, schema)
 
 
 def _lowest_free(taken: DataFrame, group: list[str], limit: int) -> DataFrame:
