@@ -484,6 +484,47 @@ CTES["findings"] = "SELECT r.*, h.\"count\" FROM (VALUES " + ", ".join(
 ) + ") r(code, category, cleanup, info) JOIN (" + " UNION ALL ".join(_health_sql(c[0], True) for c in CHECKS) + ") h USING (code)"
 
 
+# ---- samples of the checks on the default result: (order, text) per finding, the first eight
+def _at(location: str) -> str:
+    return f"CASE WHEN {location} IS NULL THEN 'no location' ELSE coalesce((SELECT text FROM where_ w WHERE w.LocationId = {location}), 'unknown location') END"
+
+
+_STYLED = """(SELECT u.*, fp.rs, ColorIndex || '/' || StyleIndex AS style FROM f_UserMark u JOIN fp ON fp.UserMarkId = u.UserMarkId)"""
+SAMPLES = {
+    "B1": ("c.LocationId", "'#' || c.LocationId || ' ' || " + _at("c.LocationId")),
+    "B2": ("c.UserMarkId", "'highlight #' || c.UserMarkId || ' at ' || " + _at("c.LocationId")),
+    "B3": ("c.TagId", "'tag \"' || c.Name || '\"'"),
+    "B4": ("c.IndependentMediaId", "c.OriginalFilename || ' (' || c.FilePath || ')'"),
+    "B5": ("c.PlaylistItemId", "'playlist item #' || c.PlaylistItemId || ' \"' || c.Label || '\"'"),
+    "B6": ("c.PlaylistItemId", "'playlist item #' || c.PlaylistItemId || ' \"' || c.Label || '\"'"),
+    "B7": ("c.NoteId", "'note #' || c.NoteId"),
+    "B8": ("c.NoteId", "'note #' || c.NoteId || ' at ' || " + _at("c.LocationId")),
+    "B9": ("c.TagId", "'playlist \"' || c.Name || '\"'"),
+    "C1": ("c.NoteId", "'note #' || c.NoteId || ': ' || " + _at("c.LocationId") + " || ' vs highlight at ' || " + _at("p.LocationId")),
+    "C2": ("c.BookmarkId", "'bookmark #' || c.BookmarkId || ': ' || " + _at("c.LocationId") + " || ' recorded under ' || " + _at("c.PublicationLocationId")),
+    "C6": ("c.TagMapId", "'tag assignment #' || c.TagMapId"),
+    "D1": ("c.IndependentMediaId", "c.OriginalFilename || ' (' || c.FilePath || ')'"),
+    "D2": ("c.path", "c.path"),
+}
+
+
+def _samples() -> str:
+    parts = []
+    for code, (order, text) in SAMPLES.items():
+        for body in HEALTH[code]:
+            rows = body.replace("{on:p}", "").replace("{on:q}", "").format(t="f_", k="", ku="", onru="", files="(SELECT FilePath AS path FROM md_held)")
+            parts.append(f"SELECT '{code}' AS code, row_number() OVER (ORDER BY {order}) - 1 AS nth, {text} AS sample {rows}")
+    for code, partition, more in (("C4", "LocationId, rs, style", "true"), ("C5", "LocationId, rs", "styles > 1")):
+        parts.append(f"""SELECT '{code}', row_number() OVER (ORDER BY lead, o, n) - 1, {_at('LocationId')} || ' (highlights #' || ids || ')' FROM (
+          SELECT LocationId, unnest(range(2, c + 1)) AS n, ids, lead, o FROM (SELECT LocationId, count(*) AS c, min(lead) AS lead, min(UserMarkId) AS o,
+            count(DISTINCT style) AS styles, string_agg(CAST(UserMarkId AS VARCHAR), ', #' ORDER BY UserMarkId) AS ids
+            FROM (SELECT *, min(UserMarkId) OVER (PARTITION BY LocationId, rs) AS lead FROM {_STYLED}) GROUP BY {partition}) WHERE c > 1 AND {more})""")
+    parts.append("""SELECT 'C3', row_number() OVER (ORDER BY o, n) - 1, 'highlight #' || UserMarkId FROM (SELECT UserMarkId, o, unnest(range(0, c)) AS n FROM (
+        SELECT UserMarkId, CAST(sum(k - 1) AS BIGINT) AS c, min(o) AS o FROM (SELECT UserMarkId, count(*) AS k, min(BlockRangeId) AS o FROM f_BlockRange
+          GROUP BY UserMarkId, BlockType, Identifier, StartToken, EndToken) GROUP BY UserMarkId))""")
+    return "SELECT code, CAST(nth AS INT) AS nth, sample FROM (" + " UNION ALL ".join(parts) + ") WHERE nth < 8"
+
+
 # ---- locations that meet by several keys: one step per source
 def _tangled() -> str:
     keyed = f"""t0 AS ({derive.oracle_text('Location', True)}),
@@ -678,6 +719,7 @@ _FINAL = {
     **{f"health_{c[0].lower()}": _health_sql(c[0], False) for c in CHECKS},
     "health_report": "SELECT code, category, cleanup, info, \"count\" FROM findings",
     "health_summary": "SELECT count(*) AS checks, count(*) FILTER (\"count\" > 0) AS findings, count(*) FILTER (\"count\" > 0 AND NOT info) AS problems FROM findings",
+    "health_samples": _samples(),
     "fk_violations": _FK,
     "fk_violations_merged": _FK_MERGED,
     "constraint_violations": _RULES,

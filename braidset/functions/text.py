@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-# Characters the reference trims from text ends.
-SPACE_CLASS = r"[\t\n\x0B\f\r \x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
+# Every character that counts as white space at the ends of a text.
+SPACES = "\t\n\x0b\f\r \u00a0\u1680" + "".join(chr(c) for c in range(0x2000, 0x200B)) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
 
 # Device names by class, first match wins.
 DEVICE_PATTERNS = (
@@ -33,7 +33,7 @@ def _col(c: Column | str) -> Column:
 
 def full_trim(c: Column | str) -> Column:
     """Trim every kind of white space, not only U+0020."""
-    return F.regexp_replace(_col(c), rf"^{SPACE_CLASS}+|{SPACE_CLASS}+$", "")
+    return F.btrim(_col(c), F.lit(SPACES))
 
 
 def is_blank(c: Column | str) -> Column:
@@ -43,9 +43,18 @@ def is_blank(c: Column | str) -> Column:
 def normalize_text(c: Column | str) -> Column:
     """Form in which white-space-only edits vanish; null becomes ''."""
     text = F.coalesce(_col(c), F.lit(""))
-    text = F.regexp_replace(text, r"\r\n?", "\n")
-    text = F.regexp_replace(text, r"[ \t\x{00A0}]+", " ")
-    text = F.regexp_replace(text, r" ?\n ?", "\n")
+
+    def where_found(current: Column, signs: tuple[str, ...], pattern: str, by: str) -> Column:
+        # A plain substring test spares most texts the regular expression.
+        found = F.lit(False)
+        for sign in signs:
+            found = found | F.contains(current, F.lit(sign))
+        return F.when(found, F.regexp_replace(current, pattern, by)).otherwise(current)
+
+    # The patterns leave out what would replace a text by itself (a lone space, a lone break).
+    text = where_found(text, ("\r",), r"\r\n?", "\n")
+    text = where_found(text, ("  ", "\t", "\u00a0"), r"[ \t\x{00A0}]{2,}|[\t\x{00A0}]", " ")
+    text = where_found(text, (" \n", "\n "), r" \n ?|\n ", "\n")
     return full_trim(text)
 
 

@@ -32,23 +32,28 @@ def append_positions(rows: DataFrame, group: list[str], order: list[str]) -> Dat
 
 # Rows of one group that a single task may be handed; larger groups go chunk by chunk.
 SLOT_CHUNK = 200_000
+# Groups up to this size are folded as an array inside the JVM.
+SLOT_ARRAY = 64
 
 
-def fill_slots(rows: DataFrame, group: list[str], chunk: int = SLOT_CHUNK) -> DataFrame:
+def fill_slots(rows: DataFrame, group: list[str], chunk: int = SLOT_CHUNK, array: int = SLOT_ARRAY) -> DataFrame:
     """Keep a row's own slot if it is free, else take the lowest free one, in encounter order.
 
-    The rule is sequential inside a group. Groups whose wanted slots are all different need
-    no Python at all. Of the others, those up to ``chunk`` rows are folded group by group;
-    larger ones advance together in chunks of at most ``chunk`` rows per group, the slots
-    taken so far being kept as a table of (group, slot). ``rows`` has ``src, pk, Slot``;
-    adds ``new_slot``.
+    The rule is sequential inside a group, so groups are told apart by size. Where all wanted
+    slots differ nothing has to move. Small groups are folded as one bounded array, larger ones
+    up to ``chunk`` rows in a Python task each. Beyond that, all big groups advance together in
+    chunks of at most ``chunk`` rows per group, the slots taken so far being kept as a table of
+    (group, slot). ``rows`` has ``src, pk, Slot``; adds ``new_slot``.
     """
     sizes = rows.groupBy(*group).agg(F.count("*").alias("_n"), F.count_distinct("Slot").alias("_d"))
-    sized = rows.join(sizes, group)
+    sized = materialize(rows.join(sizes, group), "slot-groups")
     easy = sized.where("_n = _d").withColumn("new_slot", F.col("Slot")).drop("_n", "_d")
     clash = sized.where("_n <> _d").drop("_d")
-    small = _fold(clash.where(F.col("_n") <= chunk).drop("_n"), group, None)
-    result = easy.unionByName(small)
+    result = easy.unionByName(_fold_arrays(clash.where(F.col("_n") <= min(array, chunk)).drop("_n"), group))
+    larger = clash.where(F.col("_n") > min(array, chunk))
+    if larger.isEmpty():
+        return result
+    result = result.unionByName(_fold(larger.where(F.col("_n") <= chunk).drop("_n"), group, None))
     if clash.where(F.col("_n") > chunk).isEmpty():
         return result
     big = materialize(
@@ -66,6 +71,25 @@ def fill_slots(rows: DataFrame, group: list[str], chunk: int = SLOT_CHUNK) -> Da
     return result
 
 
+def _fold_arrays(rows: DataFrame, group: list[str]) -> DataFrame:
+    """The fold for groups of a bounded size, as an expression over the sorted array of a group."""
+    others = [c for c in rows.columns if c not in group]
+    listed = rows.groupBy(*group).agg(
+        F.array_sort(F.collect_list(F.struct("src", "pk", F.col("Slot").cast("int").alias("slot")))).alias("_rows")
+    )
+    free = lambda used: F.filter(
+        F.sequence(F.lit(0), F.size(used)), lambda i: ~F.array_contains(used, i)
+    )[0]
+    slots = F.aggregate(
+        "_rows", F.array().cast("array<int>"),
+        lambda used, row: F.concat(used, F.array(F.when(F.array_contains(used, row["slot"]), free(used)).otherwise(row["slot"]))),
+    )
+    placed = listed.select(*group, F.explode(F.arrays_zip("_rows", slots.alias("_slots"))).alias("z")).select(
+        *group, F.col("z._rows.src").alias("src"), F.col("z._rows.pk").alias("pk"), F.col("z._slots").alias("new_slot")
+    )
+    return rows.join(placed, [*group, "src", "pk"]).select(*group, *others, "new_slot")
+
+
 def _fold(rows: DataFrame, group: list[str], taken: DataFrame | None, chunk: int = SLOT_CHUNK) -> DataFrame:
     schema = T.StructType([*rows.schema.fields, T.StructField("new_slot", T.IntegerType())])
     if taken is None:

@@ -103,9 +103,9 @@ def test_slots_in_small_and_big_groups(spark):
     rows += [(0, 500 + i, "all different", i) for i in range(5)]
     df = spark.createDataFrame(rows, "src int, pk int, pub string, Slot int")
     expected = place_all(rows)
-    for chunk in (1000, 37):
-        got = {(r["src"], r["pk"]): r["new_slot"] for r in fill_slots(df, ["pub"], chunk).collect()}
-        assert got == expected, chunk
+    for chunk, array in ((1000, 64), (1000, 1000), (1000, 0), (37, 8)):
+        got = {(r["src"], r["pk"]): r["new_slot"] for r in fill_slots(df, ["pub"], chunk, array).collect()}
+        assert got == expected, (chunk, array)
 
 
 def test_positions_of_a_hot_tag(spark):
