@@ -515,10 +515,10 @@ def _samples() -> str:
             rows = body.replace("{on:p}", "").replace("{on:q}", "").format(t="f_", k="", ku="", onru="", files="(SELECT FilePath AS path FROM md_held)")
             parts.append(f"SELECT '{code}' AS code, row_number() OVER (ORDER BY {order}) - 1 AS nth, {text} AS sample {rows}")
     for code, partition, more in (("C4", "LocationId, rs, style", "true"), ("C5", "LocationId, rs", "styles > 1")):
-        parts.append(f"""SELECT '{code}', row_number() OVER (ORDER BY lead, o, n) - 1, {_at('LocationId')} || ' (highlights #' || ids || ')' FROM (
+        parts.append(f"""SELECT '{code}', row_number() OVER (ORDER BY lead, o, n) - 1, {_at('c.LocationId')} || ' (highlights #' || ids || ')' FROM (
           SELECT LocationId, unnest(range(2, c + 1)) AS n, ids, lead, o FROM (SELECT LocationId, count(*) AS c, min(lead) AS lead, min(UserMarkId) AS o,
             count(DISTINCT style) AS styles, string_agg(CAST(UserMarkId AS VARCHAR), ', #' ORDER BY UserMarkId) AS ids
-            FROM (SELECT *, min(UserMarkId) OVER (PARTITION BY LocationId, rs) AS lead FROM {_STYLED}) GROUP BY {partition}) WHERE c > 1 AND {more})""")
+            FROM (SELECT *, min(UserMarkId) OVER (PARTITION BY LocationId, rs) AS lead FROM {_STYLED}) GROUP BY {partition}) WHERE c > 1 AND {more}) c""")
     parts.append("""SELECT 'C3', row_number() OVER (ORDER BY o, n) - 1, 'highlight #' || UserMarkId FROM (SELECT UserMarkId, o, unnest(range(0, c)) AS n FROM (
         SELECT UserMarkId, CAST(sum(k - 1) AS BIGINT) AS c, min(o) AS o FROM (SELECT UserMarkId, count(*) AS k, min(BlockRangeId) AS o FROM f_BlockRange
           GROUP BY UserMarkId, BlockType, Identifier, StartToken, EndToken) GROUP BY UserMarkId))""")

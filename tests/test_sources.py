@@ -152,3 +152,16 @@ def test_inventory(spark):
     members = [(0, "m.png", b"x"), (0, "manifest.json", b"x"), (0, "userData.db", b"x"), (0, "default_thumbnail.png", b"x"), (0, "f/x.png", b"x")]
     df = spark.createDataFrame(members, "src int, path string, content binary").withColumn("databaseName", F.lit("userData.db"))
     assert [(r["path"], r["size"]) for r in media_inventory(df, ["src"]).collect()] == [("m.png", 1)]
+
+
+def test_new_archives_are_handed_over_once(spark, tmp_path):
+    from braidset.streaming.increment import on_new_archives
+
+    folder, state, seen = tmp_path / "in", f"{tmp_path}/state", []
+    folder.mkdir()
+    handle = lambda batch, _: seen.append(sorted(r["path"].rsplit("/", 1)[1] for r in batch.collect()))
+    archive(folder / "one.zip", {"a": b"1"})
+    on_new_archives(spark, str(folder), state, handle)
+    archive(folder / "two.zip", {"a": b"2"})
+    on_new_archives(spark, str(folder), state, handle)
+    assert [names for names in seen if names] == [["one.zip"], ["two.zip"]]
