@@ -177,3 +177,45 @@ def source_summary(analysis: Analysis) -> DataFrame:
     files = analysis._files().groupBy(*key).agg(F.count("*").alias("n_files"))
     out = analysis.sources.join(rows, key, "left").join(lists, key, "left").join(files, key, "left")
     return out.fillna(0, ["n_rows", "n_tables", "n_playlists", "n_files"])
+
+
+def analysis_report(analysis: Analysis) -> dict[str, DataFrame]:
+    """What a reader sees before deciding: small DataFrames by name, computed when used."""
+    from braidset.plans.finalize import finalize
+    from braidset.plans.health import Health
+
+    default = finalize(analysis)
+    files = analysis.collected_media.select(*analysis.scope, F.col("FilePath").alias("path"))
+    owners = analysis.sources.select(*analysis.scope).distinct() if analysis.scope else None
+    return {
+        "sources": source_summary(analysis),
+        "compatibility": analysis.compatibility,
+        "conflicts": analysis.conflicts,
+        "counters": auto_summary(analysis),
+        "warnings": warnings(analysis),
+        "counts": table_counts(default.tables, analysis.scope),
+        "health": Health(default.tables, analysis.scope, files).report(owners),
+        "headline": headline_counts(default.tables, analysis.scope),
+        "media": files.groupBy(*analysis.scope).agg(F.count("*").alias("n_files")),
+    }
+
+
+def build_report(analysis: Analysis, result, cleaned) -> dict[str, DataFrame]:
+    """What a reader sees after building: verdict, counts, clean-ups, digests, media left."""
+    from braidset.plans.validate import fingerprint, fk_violations, reconcile_counts, validation_report
+
+    sc = analysis.scope
+    counts = reconcile_counts(
+        source_counts(analysis), dropped_counts(analysis), table_counts(cleaned.tables, sc), cleaned.removed(), sc
+    )
+    media = analysis.collected_media.select(*sc, "FilePath").join(
+        cleaned.tables["IndependentMedia"].select(*sc, "FilePath"), [*sc, "FilePath"], "left_semi"
+    )
+    return {
+        "validation": validation_report(fk_violations(cleaned.tables, sc), counts, sc),
+        "row_counts": counts,
+        "decisions": result.decisions,
+        "cleanup": cleaned.summary(),
+        "digests": fingerprint(cleaned.tables, sc),
+        "media": media.groupBy(*sc).agg(F.count("*").alias("n_files")),
+    }
