@@ -8,7 +8,9 @@ import os
 import duckdb
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from braidset.catalog.oracles import ORACLES
+from braidset.catalog.queries import QUERIES
 
 SF_DIR = os.environ.get("QUERY_SF_DIR", "/root/testdata/sf0.001")
 
@@ -29,13 +31,13 @@ def plain(value):
 KINDS = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "boolean": "BOOLEAN", "double": "DOUBLE"}
 
 
-@pytest.mark.parametrize("name", list(queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query(spark, database, name):
-    df = queries()[name](spark, SF_DIR)
+    df = QUERIES[name](spark, SF_DIR)
     columns = sorted(df.columns)
     rows = sorted(tuple(plain(r[c]) for c in columns) for r in df.collect())
-    assert name in oracle_sql(), "every query has a statement"
-    answer = database.execute(oracle_sql()[name])
+    assert name in ORACLES, "every query has a statement"
+    answer = database.execute(ORACLES[name])
     kinds = {d[0]: str(d[1]) for d in answer.description}
     assert {f.name: KINDS[f.dataType.simpleString()] for f in df.schema.fields} == kinds
     order = [list(kinds).index(c) for c in columns]
@@ -47,4 +49,4 @@ def test_entry(spark):
 
 
 def test_no_statement_without_a_query():
-    assert set(oracle_sql()) == set(queries())
+    assert set(ORACLES) == set(QUERIES)
