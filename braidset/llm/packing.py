@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 from collections import defaultdict, deque
 from collections.abc import Iterator, Sequence
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -14,8 +16,9 @@ from braidset.session import materialize
 
 WINDOW = 1024
 END_ID = 0
-_MEMO_LIMIT = 600_000
-_SLICE_BYTES = 4 << 20
+_MEMO_LIMIT = 500_000
+_BLOCK = 4096
+_SLICE_CHARS = 2 << 20
 
 
 class _Words(dict):
@@ -39,10 +42,14 @@ class Encoder:
     """
 
     def __init__(self, path: str) -> None:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        vocabulary = self.tokenizer.get_vocab()
+        self.spaced = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.spaced[[i for token, i in vocabulary.items() if token.startswith("\u0120")]] = True  # how this vocabulary writes a space
         self._clear()
 
     def _clear(self) -> None:
@@ -50,17 +57,32 @@ class Encoder:
         self.firsts = _Words()
         self.tables = {id(t): [np.zeros(0, np.uint32), np.zeros(1, np.int64), np.zeros(0, bool)] for t in (self.words, self.firsts)}
 
-    def _encode(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _encode(self, texts: list[str]) -> Iterator[list[int]]:
+        for at in range(0, len(texts), _BLOCK):  # the library's results are far larger than their ids
+            yield from [e.ids for e in self.tokenizer.encode_batch_fast(texts[at:at + _BLOCK], add_special_tokens=False)]
+
+    def _encode_words(self, words: list[str]) -> list[np.ndarray]:
+        """Ids of each word with its space; many words are encoded as one text and told apart by the ids that begin with a space."""
+        out: list[np.ndarray] = []
+        for at in range(0, len(words), 1000):
+            part = words[at:at + 1000]
+            ids = np.array(next(self._encode([" " + " ".join(part)])), np.uint32)
+            cuts = np.flatnonzero(self.spaced[ids])
+            if len(cuts) == len(part) and cuts[0] == 0:
+                out += np.split(ids, cuts[1:])
+            else:
+                out += [np.array(x, np.uint32) for x in self._encode([" " + w for w in part])]
+        return out
 
     def _settle(self, words: _Words, space: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         table = self.tables[id(words)]
         if words.waiting:
-            ids = self._encode([space + w for w in words.waiting])
-            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-            flat = np.fromiter((i for x in ids for i in x), np.uint32, int(sizes.sum()))
-            odd = np.fromiter((not w or w[0].isspace() or w[-1].isspace() for w in words.waiting), bool, len(ids))
-            table[0] = np.concatenate([table[0], flat])
+            odd = np.fromiter((not w or w[0].isspace() or w[-1].isspace() for w in words.waiting), bool, len(words.waiting))
+            plain = [w for w, o in zip(words.waiting, odd) if not o]
+            ids = self._encode_words(plain) if space else [np.array(x, np.uint32) for x in self._encode(plain)]
+            sizes = np.zeros(len(odd), np.int64)
+            sizes[~odd] = np.fromiter(map(len, ids), np.int64, len(ids))
+            table[0] = np.concatenate([table[0], *ids])
             table[1] = np.concatenate([table[1], table[1][-1] + np.cumsum(sizes)])
             table[2] = np.concatenate([table[2], odd])
             words.waiting = []
@@ -88,14 +110,20 @@ class Encoder:
         return out
 
 
+@lru_cache(maxsize=1)
+def _encoder(path: str) -> Encoder:
+    """One encoder per worker process, so that later tasks find the words of earlier ones."""
+    return Encoder(path)
+
+
 def _pieces(batches: Iterator[pa.RecordBatch], path: str, window: int, end_id: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    encoder = Encoder(path)
+    encoder = _encoder(path)
     for batch in batches:
         texts = [t or "" for t in batch.column(1).to_pylist()]
         cuts, size = [0], 0
         for i, t in enumerate(texts):
             size += len(t)
-            if size >= _SLICE_BYTES:
+            if size >= _SLICE_CHARS:
                 cuts.append(i + 1)
                 size = 0
         for lo, hi in zip(cuts, [*cuts[1:], len(texts)]):

@@ -5,20 +5,37 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from braidset.llm.common import read_table
+from braidset.llm import langid, quality
+from braidset.llm.common import held_out, read_table
 from braidset.llm.imatch import IMATCH_SQL, imatch_fingerprints
 from braidset.llm.mixing import MIX_SQL, mix_documents
 from braidset.llm.packing import packed_documents
 from braidset.llm.simhash import hex_digits, simhash_groups
+from braidset.llm.tokencount import token_counts
 from braidset.llm.urltrust import URL_SQL, judge_urls
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return quality.quality_scores(docs, quality.train(docs, read_table(spark, sf_dir, "labels")))
+
+
 def op3_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imatch_fingerprints(read_table(spark, sf_dir, "documents"))
 
 
+def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    found = langid.language_spans(docs, langid.train(docs))
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+def op5_tokencount(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(read_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_documents(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -36,5 +53,5 @@ def op10_urltrust(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(read_table(spark, sf_dir, "pages"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_imatch, op6_packing, op7_mixing, op9_simhash, op10_urltrust)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_quality, op3_imatch, op4_langid, op5_tokencount, op6_packing, op7_mixing, op9_simhash, op10_urltrust)}
 ORACLES: dict[str, str] = {"op3_imatch": IMATCH_SQL, "op7_mixing": MIX_SQL, "op10_urltrust": URL_SQL}
