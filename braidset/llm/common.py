@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from braidset.session import materialize
@@ -69,3 +72,53 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
         return earlier.join(onward, "root", "left").select("node", F.coalesce("last", "root").alias("root"))
 
     return materialize(reduce(compose, reversed(maps)), "components")
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
+    """Columns and group starts of a partition sorted by its first ``keys`` (long) columns, no group cut in two.
+
+    Holds one batch and the group that it ends in, so groups must be bounded. Starts end with the number of rows.
+    """
+    held: pa.RecordBatch | None = None
+    for batch in _and_none(batches):
+        if batch is not None and not batch.num_rows:
+            continue
+        if held is not None and batch is not None:
+            table = pa.Table.from_batches([held, batch]).combine_chunks()
+            batch = table.to_batches(max_chunksize=table.num_rows)[0]
+        elif batch is None:
+            batch, held = held, None
+            if batch is None:
+                return
+            yield _columns(batch), _starts(batch, keys)
+            return
+        starts = _starts(batch, keys)
+        last = int(starts[-2])
+        held = batch.slice(last)
+        if last:
+            done = batch.slice(0, last)
+            yield _columns(done), starts[:-1]
+
+
+def _and_none(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
+    yield from batches
+    yield None
+
+
+def _columns(batch: pa.RecordBatch) -> list[np.ndarray]:
+    return [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+
+
+def _starts(batch: pa.RecordBatch, keys: int) -> np.ndarray:
+    changed = np.zeros(max(0, batch.num_rows - 1), bool)
+    for k in range(keys):
+        changed |= np.diff(batch.column(k).to_numpy(zero_copy_only=False)) != 0
+    return np.concatenate([[0], np.flatnonzero(changed) + 1, [batch.num_rows]])
+
+
+def dealt(df: DataFrame, keys: list[str], by: Column, size: int, out: str = "block") -> DataFrame:
+    """``df`` with a block number in each key, so that a block has about ``size`` rows at most; by a hash of ``by``."""
+    counts = df.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > size)
+    crowded = materialize(counts.select(*keys, F.ceil(F.col("_n") / size).cast("int").alias("_blocks")), "crowded")
+    joined = df.join(crowded, keys, "left")
+    return joined.withColumn(out, F.pmod(F.xxhash64(by), F.coalesce("_blocks", F.lit(1))).cast("int")).drop("_blocks")

@@ -11,6 +11,7 @@ from braidset.llm import langid, quality
 from braidset.llm.common import held_out, read_table
 from braidset.llm.imatch import IMATCH_SQL, imatch_fingerprints
 from braidset.llm.mixing import MIX_SQL, mix_documents
+from braidset.llm.nndescent import near_vectors
 from braidset.llm.packing import packed_documents
 from braidset.llm.simhash import hex_digits, simhash_groups
 from braidset.llm.tokencount import token_counts
@@ -44,6 +45,10 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_documents(read_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_nndescent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(read_table(spark, sf_dir, "embeddings"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash_groups(read_table(spark, sf_dir, "documents"))
     return groups.select("doc_id", hex_digits("fp").alias("fingerprint"), "component_id")
@@ -53,5 +58,5 @@ def op10_urltrust(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(read_table(spark, sf_dir, "pages"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_quality, op3_imatch, op4_langid, op5_tokencount, op6_packing, op7_mixing, op9_simhash, op10_urltrust)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_quality, op3_imatch, op4_langid, op5_tokencount, op6_packing, op7_mixing, op8_nndescent, op9_simhash, op10_urltrust)}
 ORACLES: dict[str, str] = {"op3_imatch": IMATCH_SQL, "op7_mixing": MIX_SQL, "op10_urltrust": URL_SQL}
