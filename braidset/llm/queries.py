@@ -13,11 +13,18 @@ from braidset.llm.imatch import IMATCH_SQL, imatch_fingerprints
 from braidset.llm.mixing import MIX_SQL, mix_documents
 from braidset.llm.nndescent import near_vectors
 from braidset.llm.packing import packed_documents
+from braidset.llm.runindex import repeated_passages
 from braidset.llm.simhash import hex_digits, simhash_groups
 from braidset.llm.tokencount import token_counts
 from braidset.llm.urltrust import URL_SQL, judge_urls
 
 
+def op1_runindex(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = repeated_passages(read_table(spark, sf_dir, "documents"))
+    removed = F.col("n_bytes") - F.octet_length("kept")
+    return cut.select("doc_id", "n_bytes", removed.cast("long").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return quality.quality_scores(docs, quality.train(docs, read_table(spark, sf_dir, "labels")))
@@ -58,5 +65,5 @@ def op10_urltrust(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(read_table(spark, sf_dir, "pages"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_quality, op3_imatch, op4_langid, op5_tokencount, op6_packing, op7_mixing, op8_nndescent, op9_simhash, op10_urltrust)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_runindex, op2_quality, op3_imatch, op4_langid, op5_tokencount, op6_packing, op7_mixing, op8_nndescent, op9_simhash, op10_urltrust)}
 ORACLES: dict[str, str] = {"op3_imatch": IMATCH_SQL, "op7_mixing": MIX_SQL, "op10_urltrust": URL_SQL}
