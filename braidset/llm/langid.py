@@ -189,8 +189,8 @@ def viterbi(scores: np.ndarray, starts: np.ndarray, lengths: np.ndarray, penalty
     return labels
 
 
-def _label(batches: Iterator[pa.RecordBatch], model: Model, penalty: float, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    scorer = _Scorer(model)
+def _label(batches: Iterator[pa.RecordBatch], model: Model, penalty: float, schema: pa.Schema, scorer: _Scorer | None = None) -> Iterator[pa.RecordBatch]:
+    scorer = _Scorer(model) if scorer is None else scorer
     names = np.array([*model.langs, UNKNOWN], object)
     for batch in batches:
         at = 0
@@ -246,3 +246,22 @@ def language_spans(docs: DataFrame, model: Model, penalty: float = PENALTY) -> D
     schema = to_arrow_schema(kind)
     slim = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     return slim.mapInArrow(lambda batches: _label(batches, model, penalty, schema), kind)
+
+
+def language_of(model: Model, penalty: float = PENALTY):
+    """The same decision as a column function of the text: struct(lang_pred, score)."""
+    fields = [("row", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64())]
+    span = pa.list_(pa.struct([("lang", pa.string()), ("first_word", pa.int64()), ("words", pa.int64()), ("letters", pa.int64())]))
+    schema = pa.schema([*fields, ("spans", span)])
+
+    @F.pandas_udf("lang_pred string, score double")
+    def label(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        scorer = _Scorer(model)
+        for column in texts:
+            batch = pa.RecordBatch.from_arrays([pa.array(np.arange(len(column))), pa.array(column, pa.string(), from_pandas=True)], ["row", "text"])
+            found = [b.select([1, 2]).to_pandas() for b in _label(iter([batch]), model, penalty, schema, scorer)]
+            yield pd.concat(found, ignore_index=True) if found else pd.DataFrame({"lang_pred": [], "score": []})
+            if len(scorer) > _MEMO_LIMIT:
+                scorer = _Scorer(model)
+
+    return label
