@@ -1,11 +1,12 @@
 """SimHash near-duplicates by anchor-point covering.
 
-Two fingerprints within ``THRESHOLD`` = 3 differing bits differ in at most one bit of their upper
-or of their lower 32 bits. The anchors of a half are the words of a covering code: the perfect
-[31, 26] Hamming code on 31 bits (covering radius 1) times the remaining bit. A fingerprint lives at its
-nearest anchor (distance 1 at most) and is replicated to every anchor within covering radius plus the half's
-threshold (1 + 1 = 2), which are 2 or 17 of them per half. Every linked pair therefore meets at the anchor
-where one of them lives; each anchor compares its residents with its visitors on all 64 bits.
+Fingerprints of 64 bits are cut into parts: two of 32 bits for up to 3 differing bits, four of 16 for up to 11. Two
+fingerprints within the threshold then differ in at most t = 1 (or 2) bits of some part. The anchors of a part are the words of a
+covering code: a perfect Hamming code ([31, 26] or [15, 11], covering radius 1) times the one bit left. A fingerprint lives
+at its nearest anchor (distance 1 at most) and is replicated to every anchor within covering radius plus t, so that
+every linked pair meets at the anchor where one of them lives; each anchor compares its residents with its
+visitors on all 64 bits. Two parts have 2^27 anchors each and stay selective for billions of fingerprints; four parts have 2^12
+each, so beyond some millions of fingerprints their comparisons grow with the square (see the README).
 """
 
 from __future__ import annotations
@@ -24,85 +25,129 @@ from braidset.session import materialize
 THRESHOLD = 3
 #: Residents of one anchor that are compared in one group; larger anchors are split into blocks.
 BLOCK = 512
+#: Smallest shingle hashes of a text that stand for its shingle set.
+SKETCH = 256
 _WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
-def simhash(text: str | None, words: int = 3) -> int:
-    """Fingerprint of a text: bit b is set if it is set in over half of the shingles' XXH64 (seed 42)."""
+def _shingle_hashes(text: str | None, words: int, seed: int) -> np.ndarray:
+    """XXH64 of every shingle of a text, repeats included; none for a text without words."""
     raw = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER)
     parts = _WORDS.findall(raw)
     if not parts:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(parts)
-    n = max(1, len(parts) - words + 1)
     ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
     lasts = ends[words - 1:] if len(parts) >= words else ends[-1:]
     digest = xxhash.xxh64_intdigest
-    counts = np.zeros(64, np.int64)
-    for at in range(0, n, 65536):  # whole texts of any length in bounded memory
-        hashes = np.array([digest(joined[s:e], 42) for s, e in zip(starts[at:min(n, at + 65536)].tolist(), lasts[at:at + 65536].tolist())], "<u8")
-        bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        counts += bits.sum(axis=0, dtype=np.int64)
-    return int(np.packbits(counts * 2 > n, bitorder="little").view("<u8")[0])
-
+    return np.array([digest(joined[s:e], seed) for s, e in zip(starts.tolist(), lasts.tolist())], "<u8")
 
-def _fingerprint_batches(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        found = np.fromiter((simhash(t.as_py(), words) for t in batch.column(1)), np.uint64, batch.num_rows)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], ["doc_id", "fp"])
 
+def simhash(text: str | None, words: int = 3) -> int:
+    """Fingerprint of a text: bit b is set if it is set in over half of the shingles' XXH64 (seed 42)."""
+    hashes = _shingle_hashes(text, words, 42)
+    counts = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), 65536):
+        bits = np.unpackbits(hashes[at:at + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        counts += bits.sum(axis=0, dtype=np.int64)
+    return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view("<u8")[0])
 
-def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
-    """(doc_id, fp) for every row; fp is the fingerprint as a signed long, 0 for texts without a word."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    slim = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    return slim.mapInArrow(lambda batches: _fingerprint_batches(batches, words), f"doc_id {kind}, fp long")
 
+def sketch(text: str | None, words: int = 5, size: int = SKETCH) -> bytes:
+    """The ``size`` smallest distinct 32-bit hashes of a text's shingles."""
+    return np.unique(_shingle_hashes(text, words, 7).astype("<u4"))[:size].tobytes()
 
-def _code_tables() -> tuple[np.ndarray, np.ndarray]:
-    """Syndrome contribution of each byte of a 31-bit word, and the two-bit flips of each syndrome."""
-    syndrome = np.zeros((4, 256), np.uint32)
-    for byte in range(4):
-        for value in range(256):
-            for bit in range(8):
-                if value >> bit & 1 and byte * 8 + bit < 31:
-                    syndrome[byte, value] ^= byte * 8 + bit + 1
-    flips = np.zeros((32, 15), np.uint32)
-    for s in range(1, 32):
-        flips[s] = [1 << (i - 1) | 1 << ((i ^ s) - 1) for i in range(1, 32) if i < i ^ s]
-    return syndrome, flips
 
+def resemblance(a: bytes, b: bytes, size: int = SKETCH) -> float:
+    """Jaccard similarity of two shingle sets from their sketches: exact for sets of up to ``size``, else within about 0.025."""
+    x, y = np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4")
+    union = np.union1d(x, y)[:size]
+    return 1.0 if not len(union) else float((np.isin(union, x) & np.isin(union, y)).mean())
 
-_SYNDROME, _FLIPS = _code_tables()
 
+def _fingerprint_batches(batches: Iterator[pa.RecordBatch], words: int, sketched: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts = [t.as_py() for t in batch.column(1)]
+        found = np.fromiter((simhash(t, words) for t in texts), np.uint64, len(texts))
+        marks = pa.array([sketch(t, sketched) for t in texts] if sketched else [None] * len(texts), pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64)), marks], ["doc_id", "fp", "sketch"])
 
-def anchors(half: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For 32-bit halves: the nearest anchor, and (row, anchor) of all other anchors within distance 2."""
-    s = np.zeros(len(half), np.uint32)
-    for byte in range(4):
-        s ^= _SYNDROME[byte][(half >> np.uint32(8 * byte)) & np.uint32(255)]
-    home = half ^ np.where(s > 0, np.uint32(1) << (np.maximum(s, 1) - np.uint32(1)), np.uint32(0)).astype(np.uint32)
-    rows = np.arange(len(half))
-    off = np.flatnonzero(s)
-    two = (half[off, None] ^ _FLIPS[s[off]]).ravel()  # a codeword has no other codeword within distance 2
-    return home, np.concatenate([rows, np.repeat(off, 15)]), np.concatenate([home ^ np.uint32(1 << 31), two])
 
+def fingerprints(docs: DataFrame, words: int = 3, sketched: int = 0) -> DataFrame:
+    """(doc_id, fp, sketch) for every row; fp is the fingerprint as a signed long, 0 for texts without a word.
 
-def _replicas(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    The sketch is that of shingles of ``sketched`` words, null if that is 0.
+    """
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    slim = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    return slim.mapInArrow(lambda batches: _fingerprint_batches(batches, words, sketched), f"doc_id {kind}, fp long, sketch binary")
+
+
+class Anchors:
+    """The covering code of one part of a fingerprint: a Hamming code on all but the top bit, times that bit."""
+
+    def __init__(self, width: int, reach: int) -> None:
+        self.width, n = width, width - 1
+        bits = [1 << (i - 1) for i in range(1, n + 1)]
+        self.syndrome = np.zeros((-(-width // 8), 256), np.uint32)
+        for byte in range(len(self.syndrome)):
+            for value in range(256):
+                for bit in range(8):
+                    if value >> bit & 1 and byte * 8 + bit < n:
+                        self.syndrome[byte, value] ^= byte * 8 + bit + 1
+        # Flips of two and three bits by their syndrome; with the nearest word they are all words within distance 3.
+        two: list[list[int]] = [[] for _ in range(n + 1)]
+        three: list[list[int]] = [[] for _ in range(n + 1)]
+        for i in range(1, n + 1):
+            for j in range(i + 1, n + 1):
+                two[i ^ j].append(bits[i - 1] | bits[j - 1])
+                for k in range(j + 1, n + 1) if reach > 2 else ():
+                    three[i ^ j ^ k].append(bits[i - 1] | bits[j - 1] | bits[k - 1])
+        self.flips = [np.array(f, np.uint32) for f in two]
+        self.far = [np.array([*f, *g], np.uint32) for f, g in zip(two, three)] if reach > 2 else self.flips
+        self.reach = reach
+
+    def home(self, part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Nearest anchor of each part, and its syndrome."""
+        s = np.zeros(len(part), np.uint32)
+        for byte in range(len(self.syndrome)):
+            s ^= self.syndrome[byte][(part >> np.uint32(8 * byte)) & np.uint32(255)]
+        return part ^ np.where(s > 0, np.uint32(1) << (np.maximum(s, 1) - np.uint32(1)), np.uint32(0)).astype(np.uint32), s
+
+    def visits(self, part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, anchor) of all other anchors within ``reach``; the top bit may differ as one of the bits."""
+        home, s = self.home(part)
+        top = np.uint32(1 << (self.width - 1))
+        rows, anchors = [np.arange(len(part))], [home ^ top]
+        for value in np.unique(s):
+            at = np.flatnonzero(s == value)
+            for flips, other in ((self.far[value], np.uint32(0)), (self.flips[value] if self.reach > 2 else self.flips[0], top)):
+                rows.append(np.repeat(at, len(flips)))
+                anchors.append((part[at][:, None] ^ flips[None, :] ^ other).ravel())
+        return np.concatenate(rows), np.concatenate(anchors)
+
+
+def _parts(threshold: int) -> tuple[int, int]:
+    """How many parts, and how far from an anchor its visitors may be."""
+    if threshold > 11:
+        raise ValueError("the anchors cover at most 11 differing bits")
+    return (2, 2) if threshold <= 3 else (4, 3)
+
+
+def _replicas(batches: Iterator[pa.RecordBatch], threshold: int, visiting: bool) -> Iterator[pa.RecordBatch]:
+    number, reach = _parts(threshold)
+    width = 64 // number
+    code = Anchors(width, reach)
     for batch in batches:
         fp = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-        for at in range(0, len(fp), 20_000):
-            part = fp[at:at + 20_000]
-            for upper in (0, 1):
-                half = ((part >> np.uint64(32 * upper)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-                home, row, other = anchors(half)
-                key = np.concatenate([home, other]).astype(np.int64) | upper << 32
-                visits = np.concatenate([np.zeros(len(home), np.int8), np.ones(len(other), np.int8)])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(key), pa.array(visits), pa.array(np.concatenate([part, part[row]]).view(np.int64))], ["anchor", "visits", "fp"]
-                )
+        for at in range(0, len(fp), 10_000):
+            chunk = fp[at:at + 10_000]
+            for i in range(number):
+                part = ((chunk >> np.uint64(width * i)) & np.uint64((1 << width) - 1)).astype(np.uint32)
+                row, anchor = code.visits(part) if visiting else (np.arange(len(part)), code.home(part)[0])
+                yield pa.RecordBatch.from_arrays([pa.array(anchor.astype(np.int64) | i << 40), pa.array(chunk[row].view(np.int64))], ["anchor", "fp"])
 
 
 def _forest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -127,10 +172,12 @@ def _linked(residents: np.ndarray, visitors: np.ndarray, same: bool, threshold:
     found = ([], [])
     step = max(1, (1 << 20) // max(1, len(residents)))
     for at in range(0, len(visitors), step):
-        v, r = np.nonzero(np.bitwise_count(visitors[at:at + step, None] ^ residents[None, :]) <= threshold)
-        a, b = visitors[at:at + step][v], residents[r]
+        bits = np.bitwise_count(visitors[at:at + step, None] ^ residents[None, :])
+        v, r = np.nonzero(bits <= threshold)
+        a, b, bits = visitors[at:at + step][v], residents[r], bits[v, r]
         keep = a < b if same else a != b
-        a, b = a[keep], b[keep]
+        near = np.argsort(bits[keep], kind="stable")  # the closest first, so that the forest keeps those
+        a, b = a[keep][near], b[keep][near]
         kept = _forest(a, b)
         found[0].append(a[kept])
         found[1].append(b[kept])
@@ -175,40 +222,59 @@ def _compare(batches: Iterator[pa.RecordBatch], threshold: int) -> Iterator[pa.R
 
 
 def near_links(distinct: DataFrame, threshold: int = THRESHOLD, block: int = BLOCK) -> DataFrame:
-    """(a, b) between distinct fingerprints ``fp`` at ``threshold`` or fewer bits, by anchors.
+    """(a, b) between distinct fingerprints ``fp`` at ``threshold`` (11 at most) or fewer bits, by anchors.
 
-    The links join exactly the fingerprints that all links would join; within a group only
-    a forest of them is given out, so that dense groups of near copies stay linear. An anchor with over ``block``
-    residents is split: residents and visitors are dealt into blocks by hash and every
-    pair of blocks is a group of its own, so that no pair is lost and no task gets the whole.
+    The links join exactly the fingerprints that all links would join; within a group only a forest of them is given out, closest
+    pairs first, so that dense groups of near copies stay linear. An anchor with over ``block``
+    residents is split: residents and visitors are dealt into blocks by hash and every pair of blocks is a group of its
+    own, so that no pair is lost and no task gets the whole.
     """
-    if threshold > THRESHOLD:
-        raise ValueError("the anchors cover at most three differing bits")
-    replicas = distinct.select("fp").mapInArrow(_replicas, "anchor long, visits byte, fp long")
-    residents = replicas.where("visits = 0").groupBy("anchor").agg(F.count("*").alias("n"))
-    crowded = materialize(residents.where(F.col("n") > block).select("anchor", F.ceil(F.col("n") / block).cast("int").alias("blocks")), "crowded")
-    dealt = replicas.join(crowded, "anchor", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    homes = distinct.select("fp").mapInArrow(lambda batches: _replicas(batches, threshold, False), "anchor long, fp long")
+    visits = distinct.select("fp").mapInArrow(lambda batches: _replicas(batches, threshold, True), "anchor long, fp long")
+    counts = homes.groupBy("anchor").agg(F.count("*").alias("n"))
+    crowded = materialize(counts.where(F.col("n") > block).select("anchor", F.ceil(F.col("n") / block).cast("int").alias("blocks")), "crowded")
+    homes, visits = (x.join(crowded, "anchor", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))) for x in (homes, visits))
     own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
     every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    homes = dealt.where("visits = 0").select("anchor", own.alias("rb"), every.alias("vb"), "visits", "fp")
-    guests = dealt.where("visits = 0 AND blocks > 1").select("anchor", every.alias("rb"), own.alias("vb"), F.lit(1).cast("byte").alias("visits"), "fp")
-    visits = dealt.where("visits = 1").select("anchor", every.alias("rb"), own.alias("vb"), "visits", "fp")
-    grouped = homes.unionByName(visits).unionByName(guests).repartition("anchor", "rb", "vb").sortWithinPartitions("anchor", "rb", "vb", "visits")
+    role = lambda n: F.lit(n).cast("byte").alias("visits")
+    residents = homes.select("anchor", own.alias("rb"), every.alias("vb"), role(0), "fp")
+    guests = homes.where("blocks > 1").select("anchor", every.alias("rb"), own.alias("vb"), role(1), "fp")
+    visitors = visits.select("anchor", every.alias("rb"), own.alias("vb"), role(1), "fp")
+    grouped = residents.unionByName(visitors).unionByName(guests).repartition("anchor", "rb", "vb").sortWithinPartitions("anchor", "rb", "vb", "visits")
     return grouped.mapInArrow(lambda batches: _compare(batches, threshold), "a long, b long")
 
 
-def simhash_groups(docs: DataFrame, words: int = 3, threshold: int = THRESHOLD) -> DataFrame:
+def _alike(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        pairs = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())
+        yield batch.select([0, 1]).filter(pa.array([resemblance(x, y) >= similarity for x, y in pairs], pa.bool_()))
+
+
+def simhash_groups(
+    docs: DataFrame, words: int = 3, threshold: int = THRESHOLD, similarity: float | None = None, compared_words: int = 5
+) -> DataFrame:
     """doc_id, fp, component_id: the smallest doc_id reachable over links between fingerprints.
 
     Texts are lower-cased (A-Z), cut into words at white space and into shingles of ``words``
     words, repeats included; a shorter text is one shingle, a text without words (or null) has
     fingerprint zero and is linked like any other. Rows with equal fingerprints are one class and
-    compared once. A null doc_id belongs to its class but names no component unless the component has no other id.
+    compared once. With ``similarity`` given, a link between two classes also needs that Jaccard similarity of the
+    shingles of ``compared_words`` words of their first documents (see ``resemblance``).
+
+    A null doc_id belongs to its class but names no component unless the component has no other id.
     Repeated rows get equal values each; an empty table gives no rows. Other columns are ignored.
     """
-    marked = materialize(fingerprints(docs, words), "fingerprints")
+    marked = materialize(fingerprints(docs, words, compared_words if similarity is not None else 0), "fingerprints")
     classes = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "classes")
-    roots = components(near_links(classes, threshold), "a", "b")
+    links = near_links(classes, threshold)
+    if similarity is not None:
+        links = materialize(links.distinct(), "near-links")
+        ends = links.select(F.col("a").alias("fp")).unionByName(links.select(F.col("b").alias("fp"))).distinct()
+        firsts = marked.join(ends, "fp", "left_semi").groupBy("fp").agg(F.min(F.struct("doc_id", "sketch")).alias("first"))
+        firsts = materialize(firsts.select("fp", "first.sketch"), "sketches")
+        both = links.join(firsts.select(F.col("fp").alias("a"), F.col("sketch").alias("x")), "a").join(firsts.select(F.col("fp").alias("b"), F.col("sketch").alias("y")), "b")
+        links = both.select("a", "b", "x", "y").mapInArrow(lambda batches: _alike(batches, similarity), "a long, b long")
+    roots = components(links, "a", "b")
     rooted = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     names = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     known = materialize(rooted.select("fp", "root").join(names, "root").select("fp", "component_id"), "simhash-components")
