@@ -23,30 +23,25 @@ def terms(text: Column) -> Column:
 
 
 def lexicon(docs: DataFrame) -> DataFrame:
-    """(term, subsets): terms of the idf band and the bits of the subsets that they are in.
+    """(term, subset): terms of the idf band in each of the subsets that they are in.
 
     A term of the band is in over one of LEAST_COMMON documents, so with d distinct terms a document on average the
-    band has at most LEAST_COMMON * d terms, however many documents there are. Terms in no subset are left out.
+    band has at most LEAST_COMMON * d terms, however many documents there are.
     """
     n = docs.count()
     counted = docs.select(F.explode(terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     band = counted.where((F.col("df") * MOST_COMMON <= n) & (F.col("df") * LEAST_COMMON >= n)).select("term")
-    bits = F.lit(0).cast("long")
-    for k in range(SUBSETS):
-        member = F.substring(F.md5(F.concat(F.lit(f"{k}:"), F.col("term")).cast("binary")), 1, 3) < F.lit(f"{RATES[k // SUBSETS_EACH]:03x}")
-        bits = bits + F.when(member, F.lit(1 << k).cast("long")).otherwise(F.lit(0).cast("long"))
-    return materialize(band.withColumn("subsets", bits).where("subsets <> 0"), "lexicon")
+    limits = F.array(*[F.lit(f"{RATES[k // SUBSETS_EACH]:03x}") for k in range(SUBSETS)])
+    every = band.select("term", F.posexplode(limits).alias("subset", "_limit"))
+    drawn = F.substring(F.md5(F.concat(F.col("subset").cast("string"), F.lit(":"), F.col("term")).cast("binary")), 1, 3)
+    return materialize(every.where(drawn < F.col("_limit")).select("term", "subset"), "lexicon")
 
 
-def subset_hashes(found: Column, digest: Column) -> Column:
-    """Fingerprint from sorted (term, subsets) of a text: one hash per subset, or the text's own digest if all are empty."""
-    def part(k: int) -> Column:
-        bit = F.lit(1 << k)
-        own = F.filter(found, lambda t: t["subsets"].bitwiseAND(bit) != 0)
-        return F.coalesce(F.when(F.size(own) > 0, F.substring(F.md5(F.array_join(F.transform(own, lambda t: t["term"]), " ").cast("binary")), 1, 8)), F.lit(_EMPTY))
-
-    parts = [part(k) for k in range(SUBSETS)]
-    return F.when(F.size(found) == 0, F.concat(F.lit("="), digest)).otherwise(F.concat(*parts))
+def fingerprint_of(hashes: Column, digest: Column) -> Column:
+    """Fingerprint from the hashes of a text's subsets (array of subset, hash), or the text's own digest if all are empty."""
+    by_subset = F.map_from_entries(hashes)
+    parts = [F.coalesce(F.element_at(by_subset, F.lit(k)), F.lit(_EMPTY)) for k in range(SUBSETS)]
+    return F.when(F.size(hashes) == 0, F.concat(F.lit("="), digest)).otherwise(F.concat(*parts))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -118,14 +113,17 @@ def imatch_fingerprints(docs: DataFrame) -> DataFrame:
         F.explode(F.concat(F.array(F.lit("")), terms(F.col("_text")))).alias("term"),
     )
     # The empty term stands for the text itself, so that texts without a term of the lexicon stay.
-    blank = docs.sparkSession.range(1).select(F.lit("").alias("term"), F.lit(0).cast("long").alias("subsets"))
+    blank = docs.sparkSession.range(1).select(F.lit("").alias("term"), F.lit(-1).alias("subset"))
     known = words.unionByName(blank)
     known = F.broadcast(known) if words.count() <= BROADCAST_ROWS else known
-    keys = ["_block", "_place", "_extra", "doc_id", "n_chars", "_side", "_sha"]
-    kept = F.when(F.col("subsets") != 0, F.struct("term", "subsets"))
-    hashed = found.join(known, "term").groupBy(*keys).agg(F.sort_array(F.collect_list(kept)).alias("_found"))
-    hashed = hashed.withColumn("_sha", F.lower(F.hex("_sha")))
-    hashed = hashed.select("_block", "_place", "_extra", "doc_id", "n_chars", "_side", "_sha", subset_hashes(F.col("_found"), F.col("_sha")).alias("_print"))
+    place = ["_block", "_place", "_side"]
+    carried = ["_extra", "doc_id", "n_chars", "_sha"]
+    hashed = found.join(known, "term").groupBy(*place, "subset").agg(
+        F.substring(F.md5(F.array_join(F.sort_array(F.collect_list("term")), " ").cast("binary")), 1, 8).alias("_hash"),
+        *[F.any_value(c).alias(c) for c in carried])
+    own = F.when(F.col("subset") >= 0, F.struct("subset", "_hash"))
+    hashed = hashed.groupBy(*place).agg(F.collect_list(own).alias("_hashes"), *[F.any_value(c).alias(c) for c in carried])
+    hashed = hashed.withColumn("_sha", F.lower(F.hex("_sha"))).withColumn("_print", fingerprint_of(F.col("_hashes"), F.col("_sha")))
     of = lambda side, c: F.max(F.when(F.col("_side") == side, F.col(c)))
     texts = hashed.groupBy("_block", "_place", "_extra", "doc_id", "n_chars").agg(
         of(1, "_sha").alias("edited_sha256"), of(0, "_print").alias("fingerprint"), of(1, "_print").alias("edited_fingerprint"))
