@@ -116,9 +116,24 @@ def _starts(batch: pa.RecordBatch, keys: int) -> np.ndarray:
     return np.concatenate([[0], np.flatnonzero(changed) + 1, [batch.num_rows]])
 
 
-def dealt(df: DataFrame, keys: list[str], by: Column, size: int, out: str = "block") -> DataFrame:
-    """``df`` with a block number in each key, so that a block has about ``size`` rows at most; by a hash of ``by``."""
+def dealt(df: DataFrame, keys: list[str], by: Column, size: int) -> DataFrame:
+    """``df`` with ``blocks``, the number of blocks of its key, and ``block``, its own, dealt by a hash of ``by``.
+
+    A block has about ``size`` rows at most. Only keys with more rows than that are listed, in a table whose size Spark knows
+    when it plans the join.
+    """
     counts = df.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > size)
-    crowded = materialize(counts.select(*keys, F.ceil(F.col("_n") / size).cast("int").alias("_blocks")), "crowded")
-    joined = df.join(crowded, keys, "left")
-    return joined.withColumn(out, F.pmod(F.xxhash64(by), F.coalesce("_blocks", F.lit(1))).cast("int")).drop("_blocks")
+    crowded = materialize(counts.select(*keys, F.ceil(F.col("_n") / size).cast("int").alias("blocks")), "crowded")
+    joined = df.join(crowded, keys, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    return joined.withColumn("block", F.pmod(F.xxhash64(by), F.col("blocks")).cast("int"))
+
+
+def paired_blocks() -> Column:
+    """Of a row of ``dealt``, the groups (rb, vb, role) that it goes to, so that every two blocks of a key meet in one group.
+
+    Role 0 is the left side, 1 the right side, 2 both (in a key that is one block).
+    """
+    place = lambda rb, vb, role: F.struct(rb.cast("int").alias("rb"), vb.cast("int").alias("vb"), F.lit(role).alias("role"))
+    every = F.sequence(F.lit(0), F.col("blocks") - 1)
+    both = F.concat(F.transform(every, lambda v: place(F.col("block"), v, 0)), F.transform(every, lambda r: place(r, F.col("block"), 1)))
+    return F.explode(F.when(F.col("blocks") == 1, F.array(place(F.lit(0), F.lit(0), 2))).otherwise(both))

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from braidset.llm.common import components, dealt, whole_groups
+from braidset.llm.common import components, dealt, paired_blocks, whole_groups
 from braidset.session import materialize
 
 THRESHOLD = 0.9
@@ -146,7 +146,7 @@ def _count_links(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterato
         for lo, hi in zip(starts[:-1].tolist(), starts[1:].tolist()):
             role = columns[3][lo:hi]
             x = _stack(columns[6][lo:hi], "<f8")
-            left, right = np.flatnonzero(role == 0), np.flatnonzero(role == 1)
+            left, right = np.flatnonzero(role != 1), np.flatnonzero(role != 0)
             if len(left) and len(right):
                 near = (x[left] @ x[right].T >= threshold) & (columns[4][lo:hi][left][:, None] != columns[4][lo:hi][right][None, :])
                 ids.append(columns[4][lo:hi][left])
@@ -158,12 +158,8 @@ def _count_links(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterato
 def count_links(members: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
     """(cid, links) over ``members`` (root, cid, n, unit): every pair of blocks of a component is compared as one group."""
     blocked = dealt(members, ["root"], F.col("cid"), block)
-    sizes = blocked.groupBy("root").agg((F.max("block") + 1).alias("blocks"))
-    blocked = blocked.join(sizes, "root")
-    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    left = blocked.select("root", F.col("block").alias("lb"), every.alias("rb"), F.lit(0).alias("role"), "cid", "n", "unit")
-    right = blocked.select("root", every.alias("lb"), F.col("block").alias("rb"), F.lit(1).alias("role"), "cid", "n", "unit")
-    grouped = left.unionByName(right).repartition("root", "lb", "rb").sortWithinPartitions("root", "lb", "rb")
+    placed = blocked.select("root", paired_blocks().alias("_place"), "cid", "n", "unit").select("root", "_place.*", "cid", "n", "unit")
+    grouped = placed.repartition("root", "rb", "vb").sortWithinPartitions("root", "rb", "vb")
     counted = grouped.mapInArrow(lambda batches: _count_links(batches, threshold), "cid long, links long")
     return counted.groupBy("cid").agg(F.sum("links").alias("links"))
 
