@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F
 
 from braidset.functions.hashing import stable_guid
 from braidset.functions.text import file_extension, path_key
-from braidset.operators.ordinals import ordinal_within, running_max, top_rows
+from braidset.operators.ordinals import ordinal_within, running_max
 from braidset.session import materialize
 
 
@@ -16,12 +18,19 @@ def append_positions(rows: DataFrame, group: list[str], order: list[str]) -> Dat
 
     ``rows`` has ``first_contributor`` (boolean) and ``Position``; ``order`` is total inside a
     group, first contributor first and by position there. A repeated position of the first
-    contributor moves just above the highest one so far.
+    contributor moves just above the highest one so far, to 0 at least.
     """
-    mine = ordinal_within(rows.where("first_contributor"), group, order, "_k", keep_part=True)
-    mine = mine.withColumn("_lead", F.col("Position") - F.col("_k"))
-    mine = running_max(mine, group, "_k", "_lead", "_top").withColumn("new_position", F.col("_top") + F.col("_k"))
-    mine = mine.drop("_ord_part", "_k", "_lead", "_top")
+    mine = rows.where("first_contributor")
+    # Nothing ever moves below 0, so the first row of a negative position keeps it, and its repeats queue up from 0
+    # before all rows that are not negative.
+    firsts = mine.where("Position < 0").groupBy(*group, "Position").agg(F.min(F.struct(*order)).alias("_first"))
+    split = mine.join(firsts, [*group, "Position"], "left")
+    keeps = (F.col("Position") < 0) & (F.struct(*order) == F.col("_first"))
+    below = split.where(keeps).withColumn("new_position", F.col("Position").cast("bigint")).drop("_first")
+    queued = ordinal_within(split.where(~F.coalesce(keeps, F.lit(False))).drop("_first"), group, order, "_k", keep_part=True)
+    queued = queued.withColumn("_lead", F.greatest(F.col("Position"), F.lit(0)) - F.col("_k"))
+    queued = running_max(queued, group, "_k", "_lead", "_top").withColumn("new_position", (F.col("_top") + F.col("_k")).cast("bigint"))
+    mine = below.select(*rows.columns, "new_position").unionByName(queued.select(*rows.columns, "new_position"))
     base = mine.groupBy(*group).agg(F.greatest(F.max("new_position"), F.lit(-1)).alias("_base"))
     rest = ordinal_within(rows.where("NOT first_contributor"), group, order, "_k")
     rest = rest.join(base, group, "left").withColumn(
@@ -30,124 +39,39 @@ def append_positions(rows: DataFrame, group: list[str], order: list[str]) -> Dat
     return mine.unionByName(rest)
 
 
-# Rows of one group that a single task may be handed; larger groups go chunk by chunk.
-SLOT_CHUNK = 200_000
-# Groups up to this size are folded as an array inside the JVM.
-SLOT_ARRAY = 64
-
-
-def fill_slots(rows: DataFrame, group: list[str], chunk: int = SLOT_CHUNK, array: int = SLOT_ARRAY) -> DataFrame:
-    """Keep a row's own slot if it is free, else take the lowest free one, in encounter order.
+def fill_slots(rows: DataFrame, group: list[str]) -> DataFrame:
+    """Keep a row's own slot if it is free, else take the lowest free one from 0 on, in encounter order.
 
-    The rule is sequential inside a group, so groups are told apart by size. Where all wanted
-    slots differ nothing has to move. Small groups are folded as one bounded array, larger ones
-    up to ``chunk`` rows in a Python task each. Beyond that, all big groups advance together in
-    chunks of at most ``chunk`` rows per group, the slots taken so far being kept as a table of
-    (group, slot). ``rows`` has ``src, pk, Slot``; adds ``new_slot``.
+    A group whose wanted slots all differ has nothing to move. For the others the rule is sequential by definition:
+    their slim rows (group, src, pk, slot) stream through a task in order, whatever the size of the group; of a
+    group only the slots in use above the lowest free one are held. ``rows`` has ``src, pk, Slot``; adds ``new_slot``.
     """
-    sizes = rows.groupBy(*group).agg(F.count("*").alias("_n"), F.count_distinct("Slot").alias("_d"))
+    sizes = rows.groupBy(*group).agg((F.count("*") <= F.count_distinct("Slot")).alias("_easy"))
     sized = materialize(rows.join(sizes, group), "slot-groups")
-    easy = sized.where("_n = _d").withColumn("new_slot", F.col("Slot")).drop("_n", "_d")
-    clash = sized.where("_n <> _d").drop("_d")
-    result = easy.unionByName(_fold_arrays(clash.where(F.col("_n") <= min(array, chunk)).drop("_n"), group))
-    larger = clash.where(F.col("_n") > min(array, chunk))
-    if larger.isEmpty():
-        return result
-    result = result.unionByName(_fold(larger.where(F.col("_n") <= chunk).drop("_n"), group, None))
-    if clash.where(F.col("_n") > chunk).isEmpty():
-        return result
-    big = materialize(
-        ordinal_within(clash.where(F.col("_n") > chunk).drop("_n"), group, ["src", "pk"], "_k"), "big-slots"
-    )
-    rounds = -(-big.agg(F.max("_k")).first()[0] // chunk)
-    # Per group: every slot below ``floor`` is taken; ``taken`` lists the taken ones above it.
-    taken = None
-    for number in range(rounds):
-        part = big.where(F.col("_k").between(number * chunk + 1, (number + 1) * chunk)).drop("_k")
-        done = materialize(_fold(part, group, taken, chunk), f"slots-{number}")
-        result = result.unionByName(done)
-        now = done.select(*group, F.col("new_slot").alias("slot"))
-        taken = materialize(now if taken is None else taken.unionByName(now), f"taken-{number}")
-    return result
-
-
-def _fold_arrays(rows: DataFrame, group: list[str]) -> DataFrame:
-    """The fold for groups of a bounded size, as an expression over the sorted array of a group."""
-    others = [c for c in rows.columns if c not in group]
-    listed = rows.groupBy(*group).agg(
-        F.array_sort(F.collect_list(F.struct("src", "pk", F.col("Slot").cast("int").alias("slot")))).alias("_rows")
-    )
-    free = lambda used: F.filter(
-        F.sequence(F.lit(0), F.size(used)), lambda i: ~F.array_contains(used, i)
-    )[0]
-    slots = F.aggregate(
-        "_rows", F.array().cast("array<int>"),
-        lambda used, row: F.concat(used, F.array(F.when(F.array_contains(used, row["slot"]), free(used)).otherwise(row["slot"]))),
-    )
-    placed = listed.select(*group, F.explode(F.arrays_zip("_rows", slots.alias("_slots"))).alias("z")).select(
-        *group, F.col("z._rows.src").alias("src"), F.col("z._rows.pk").alias("pk"), F.col("z._slots").alias("new_slot")
-    )
-    return rows.join(placed, [*group, "src", "pk"]).select(*group, *others, "new_slot")
-
-
-def _fold(rows: DataFrame, group: list[str], taken: DataFrame | None, chunk: int = SLOT_CHUNK) -> DataFrame:
-    schema = T.StructType([*rows.schema.fields, T.StructField("new_slot", T.IntegerType())])
-    if taken is None:
-        def one_group(pdf: pd.DataFrame) -> pd.DataFrame:
-            return _place(pdf, set(), [])
-
-        return rows.groupBy(*group).applyInPandas(one_group, schema)
-    # A chunk can only ask for the slots it wants and for as many free ones as it has rows, so
-    # that is all a task is given: the wanted slots that are taken, and the lowest free ones.
-    wanted = rows.select(*group, F.col("Slot").alias("slot")).distinct().join(taken, [*group, "slot"], "left_semi")
-    free = _lowest_free(taken, group, 2 * chunk)
-    state = wanted.select(*group, F.lit(0).alias("kind"), "slot", F.col("slot").alias("until")).unionByName(
-        free.select(*group, F.lit(1).alias("kind"), "slot", "until")
-    )
-
-    # Fresh column names: both sides come from the same tables.
-    state = state.select(*[F.col(c).alias(f"_of_{c}") for c in group], "kind", "slot", "until")
-
-    def with_state(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        used = set(right.loc[right["kind"] == 0, "slot"].tolist())
-        gaps = right.loc[right["kind"] == 1].sort_values("slot")[["slot", "until"]].values.tolist()
-        return _place(left, used, gaps)
-
-    return rows.groupBy(*group).cogroup(state.groupBy(*[f"_of_{c}" for c in group])).applyInPandas(with_state, schema)
-
-
-def _lowest_free(taken: DataFrame, group: list[str], limit: int) -> DataFrame:
-    """The lowest gaps between taken slots, as inclusive (slot, until); the last one is open."""
-    ranked = ordinal_within(taken.select(*group, F.col("slot").cast("bigint").alias("slot")), group, ["slot"], "_k")
-    before = ranked.select(*group, (F.col("_k") + 1).alias("_k"), F.col("slot").alias("_prev"))
-    gaps = ranked.join(before, [*group, "_k"], "left").select(
-        *group, (F.coalesce("_prev", F.lit(-1)) + 1).alias("slot"), (F.col("slot") - 1).alias("until")
-    ).where("slot <= until AND slot >= 0")
-    tail = taken.groupBy(*group).agg((F.max("slot").cast("bigint") + 1).alias("slot")).withColumn(
-        "until", F.lit(2**31 - 1).cast("bigint")
-    )
-    lowest = top_rows(gaps, group, ["slot"], limit).drop("_rank")
-    return lowest.unionByName(tail)
-
-
-def _place(pdf: pd.DataFrame, used: set, gaps: list) -> pd.DataFrame:
-    """Slots for the rows of one group; ``gaps`` are the free stretches left by earlier chunks."""
-    pdf = pdf.sort_values(["src", "pk"])
-    stretches = iter(gaps or [(0, 2**31 - 1)])
-    low, high = next(stretches)
-    placed = []
-    for want in pdf["Slot"].tolist():
-        slot = want
-        if slot in used:
-            while low in used or low > high:
-                if low >= high:
-                    low, high = next(stretches)
-                else:
-                    low += 1
-            slot = low
-        used.add(slot)
-        placed.append(slot)
-    return pdf.assign(new_slot=pd.Series(placed, index=pdf.index, dtype="int32"))
+    easy = sized.where("_easy").withColumn("new_slot", F.col("Slot").cast("int")).drop("_easy")
+    clash = sized.where("NOT _easy").drop("_easy")
+    slim = clash.select(*group, "src", "pk", F.col("Slot").cast("int").alias("new_slot"))
+    ordered = slim.repartition(*group).sortWithinPartitions(*group, "src", "pk")
+    placed = ordered.mapInPandas(lambda batches: _place(batches, len(group)), slim.schema)
+    return easy.unionByName(clash.join(placed, [*group, "src", "pk"]).select(*easy.columns))
+
+
+def _place(batches: Iterator[pd.DataFrame], keys: int) -> Iterator[pd.DataFrame]:
+    """The rule over a stream of rows sorted by group, src and pk; the last column is the wanted slot."""
+    current, used, lowest = None, set(), 0
+    for batch in batches:
+        placed = []
+        for key, slot in zip(zip(*[batch.iloc[:, i] for i in range(keys)]), batch.iloc[:, -1].tolist()):
+            if key != current:
+                current, used, lowest = key, set(), 0
+            if slot in used or 0 <= slot < lowest:
+                slot = lowest
+            used.add(slot)
+            while lowest in used:
+                used.discard(lowest)
+                lowest += 1
+            placed.append(slot)
+        yield batch.assign(new_slot=pd.Series(placed, index=batch.index, dtype="int32"))
 
 
 def rename_collisions(rows: DataFrame, scope: list[str]) -> DataFrame:

@@ -27,17 +27,18 @@ from braidset.operators.remap import remap, remap_any
 from braidset.plans.compatibility import check_compatibility, label_sources
 from braidset.session import materialize
 
-# Most rows of the source registry we send to every executor.
-_BROADCAST_SOURCES = 100_000
-
 LINEAGE = ["table", "local_key", "kind", "global_key", "merged_into", "conflict_id", "reason"]
 
 
 class IncompatibleSources(ValueError):
-    """Raised when the sources of a scope cannot be reconciled; carries the report rows."""
+    """Raised when the sources of a scope cannot be reconciled.
+
+    ``report`` is the DataFrame of all failing scopes with their errors; the message quotes one of them.
+    """
 
-    def __init__(self, report: list) -> None:
-        super().__init__("; ".join(e for row in report for e in row["errors"]) or "no sources were given")
+    def __init__(self, report: DataFrame) -> None:
+        first = report.select("errors").first()
+        super().__init__("; ".join(first["errors"]) if first else "no sources were given")
         self.report = report
 
 
@@ -55,7 +56,7 @@ def _text(c: Column | str) -> Column:
 
 
 class Analysis:
-    """Lazily computed analysis of one snapshot set.
+    """Lazily computed analysis of one snapshot set; incompatible sources are refused.
 
     ``tables`` maps table names to DataFrames with ``[*scope, src, *registry columns]``;
     missing names mean empty tables. ``media_files`` has ``[*scope, src, path]`` and, for
@@ -79,6 +80,7 @@ class Analysis:
                 for column in reversed(head):
                     empty = type(empty)([type(empty.fields[0])(column, types[column]), *empty.fields])
                 self.tables[name] = self.spark.createDataFrame([], empty)
+        self.require_compatible()
 
     # ------------------------------------------------------------------ helpers
     def _save(self, df: DataFrame, name: str) -> DataFrame:
@@ -88,17 +90,13 @@ class Analysis:
         """Source rows of a table with their numeric key also as ``pk``."""
         return self.tables[table].withColumn("pk", F.col(pk or schema.primary_key(table)[0]))
 
-    @cached_property
-    def _few_sources(self) -> bool:
-        return self.sources.limit(_BROADCAST_SOURCES + 1).count() <= _BROADCAST_SOURCES
-
     def with_source(self, df: DataFrame) -> DataFrame:
         """Add label and snapshot time of each row's source."""
         info = self.sources.select(
             *self.scope, "src", "label", F.col("LastModified").alias("backup_timestamp"),
             ts_key("LastModified").alias("backup_ts"),
         )
-        return df.join(F.broadcast(info) if self._few_sources else info, [*self.scope, "src"])
+        return df.join(info, [*self.scope, "src"])
 
     def _ids(self, df: DataFrame, merged_into: Column, conflict: Column | None = None, reason: Column | None = None) -> DataFrame:
         """Id table from rows with ``src, pk, gid`` (gid null = dropped)."""
@@ -122,9 +120,9 @@ class Analysis:
         return self._save(check_compatibility(self.sources, self.scope), "compatibility")
 
     def require_compatible(self) -> "Analysis":
-        """Raise when any scope has an error (one row per scope is looked at, failing ones only)."""
-        bad = self.compatibility.where("NOT ok").limit(20).collect()
-        if bad or self.compatibility.isEmpty():
+        """Raise when any scope has an error, or when there is no source at all."""
+        bad = self.compatibility.where("NOT ok")
+        if not bad.isEmpty() or self.compatibility.isEmpty():
             raise IncompatibleSources(bad)
         return self
 

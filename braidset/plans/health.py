@@ -21,7 +21,6 @@ from braidset.plans.cleanup import duplicate_groups, location_references
 from braidset.session import materialize
 
 SAMPLES = 8
-LISTED_MARKS = 64
 
 # Code, category, clean-up that removes the rows, informational only.
 CHECKS = (
@@ -292,17 +291,15 @@ class Health:
         return listed.select(*self.keys, "code", F.transform("_l", lambda x: x["t"]).alias("samples"))
 
     def _list_marks(self, few: DataFrame) -> DataFrame:
-        """Ids of the highlights in sampled groups; long groups are shown up to a limit."""
+        """Ids of all highlights in the sampled groups, which are a few for each check."""
         groups = few.where("group IS NOT NULL").select(*self.keys, "code", "group").distinct()
         styled = self._styled()
         members = styled.select(*self.keys, F.lit("C4").alias("code"), K.key_of("_pair", "_style").alias("group"), "UserMarkId").unionByName(
             styled.select(*self.keys, F.lit("C5").alias("code"), F.col("_pair").alias("group"), "UserMarkId")
         ).join(groups, [*self.keys, "code", "group"], "left_semi")
-        shown = top_rows(members, [*self.keys, "code", "group"], ["UserMarkId"], LISTED_MARKS + 1)
-        listed = shown.groupBy(*self.keys, "code", "group").agg(F.array_sort(F.collect_list("UserMarkId")).alias("_ids"))
-        names = F.transform(F.slice("_ids", 1, LISTED_MARKS), lambda i: F.concat(F.lit("#"), i.cast("string")))
-        more = F.when(F.size("_ids") > LISTED_MARKS, ", …").otherwise("")
-        listed = listed.withColumn("_marks", F.concat(F.lit(" (highlights "), F.array_join(names, ", "), more, F.lit(")"))).drop("_ids")
+        listed = members.groupBy(*self.keys, "code", "group").agg(F.array_sort(F.collect_list("UserMarkId")).alias("_ids"))
+        names = F.transform("_ids", lambda i: F.concat(F.lit("#"), i.cast("string")))
+        listed = listed.withColumn("_marks", F.concat(F.lit(" (highlights "), F.array_join(names, ", "), F.lit(")"))).drop("_ids")
         return few.join(listed, [*self.keys, "code", "group"], "left").withColumn("_marks", F.coalesce("_marks", F.lit("")))
 
     def report(self, keys_df: DataFrame | None = None, with_samples: bool = True) -> DataFrame:

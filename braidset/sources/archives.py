@@ -9,9 +9,7 @@ from __future__ import annotations
 
 import io
 import json
-import os
 import sqlite3
-import tempfile
 import zipfile
 from collections.abc import Iterator
 
@@ -26,11 +24,12 @@ from braidset.sources.tables import scan_source_meta
 
 # kind: manifest, error, row, object, column, stamp, migration, version, member
 _LONG = "path string, kind string, name string, body string, content binary"
-_BATCH = 2000
+# Rows, and bytes of media and text, that leave a task at once.
+_BATCH, _BATCH_BYTES = 2000, 8 << 20
 
 
 def read_members(spark: SparkSession, glob: str) -> DataFrame:
-    """Everything the archives hold, in long form; one input split per archive file."""
+    """Everything the archives hold, in long form; a task opens one archive after the other."""
     files = spark.read.format("binaryFile").load(glob).select("path", "content")
     return files.mapInPandas(_open_all, _LONG)
 
@@ -38,12 +37,13 @@ def read_members(spark: SparkSession, glob: str) -> DataFrame:
 def _open_all(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for path, content in zip(batch["path"], batch["content"]):
-            pending = []
+            pending, size = [], 0
             for record in _safe(content):
                 pending.append((path, *record))
-                if len(pending) >= _BATCH:
+                size += sum(len(x) for x in record if x is not None)
+                if len(pending) >= _BATCH or size >= _BATCH_BYTES:
                     yield pd.DataFrame(pending, columns=["path", "kind", "name", "body", "content"])
-                    pending = []
+                    pending, size = [], 0
             if pending:
                 yield pd.DataFrame(pending, columns=["path", "kind", "name", "body", "content"])
 
@@ -51,8 +51,8 @@ def _open_all(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _safe(content: bytes) -> Iterator[tuple]:
     try:
         yield from _open(content)
-    except (zipfile.BadZipFile, sqlite3.DatabaseError, KeyError, ValueError) as error:
-        yield ("error", None, str(error), None)
+    except Exception as error:  # whatever is wrong with one archive, it is one error row
+        yield ("error", None, f"{type(error).__name__}: {error}", None)
 
 
 def _find(archive: zipfile.ZipFile, wanted: str) -> str | None:
@@ -77,10 +77,7 @@ def _open(content: bytes) -> Iterator[tuple]:
         if database is None:
             raise KeyError(f"the archive has no database {wanted}")
         # The rows come first: a database that cannot be read leaves nothing but its error.
-        with tempfile.NamedTemporaryFile(suffix=".db") as file:
-            file.write(archive.read(database))
-            file.flush()
-            yield from _read_database(file.name)
+        yield from _read_database(archive.read(database))
         yield ("manifest", None, manifest, None)
         for info in archive.infolist():
             name = info.filename
@@ -88,9 +85,15 @@ def _open(content: bytes) -> Iterator[tuple]:
                 yield ("member", name, None, archive.read(name))
 
 
-def _read_database(file: str) -> Iterator[tuple]:
-    connection = sqlite3.connect(f"file:{os.path.abspath(file)}?mode=ro", uri=True)
+def _plain(value: object) -> object:
+    """A stored value as JSON can hold it; bytes in a text column are read as text."""
+    return value.decode("utf-8", "replace") if isinstance(value, bytes) else value
+
+
+def _read_database(content: bytes) -> Iterator[tuple]:
+    connection = sqlite3.connect(":memory:")
     try:
+        connection.deserialize(content)
         objects = connection.execute("SELECT type, name, sql FROM sqlite_master").fetchall()
         for kind, name, sql in objects:
             yield ("object", kind, json.dumps({"name": name, "sql": sql}), None)
@@ -102,16 +105,16 @@ def _read_database(file: str) -> Iterator[tuple]:
         yield ("version", None, str(connection.execute("PRAGMA user_version").fetchone()[0]), None)
         if "LastModified" in held:
             for (value,) in connection.execute("SELECT LastModified FROM LastModified LIMIT 1"):
-                yield ("stamp", None, value, None)
+                yield ("stamp", None, _plain(value), None)
         if "grdb_migrations" in held:
             for (value,) in connection.execute("SELECT identifier FROM grdb_migrations"):
-                yield ("migration", None, value, None)
+                yield ("migration", None, _plain(value), None)
         for table in schema.TABLES:
             wanted = schema.columns(table)
             if table in held and set(wanted) <= set(columns[table]):
                 listed = ", ".join(f'"{c}"' for c in wanted)
                 for values in connection.execute(f'SELECT {listed} FROM "{table}"'):
-                    yield ("row", table, json.dumps(dict(zip(wanted, values))), None)
+                    yield ("row", table, json.dumps({c: _plain(v) for c, v in zip(wanted, values)}), None)
     finally:
         connection.close()
 

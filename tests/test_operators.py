@@ -103,9 +103,15 @@ def test_slots_in_small_and_big_groups(spark):
     rows += [(0, 500 + i, "all different", i) for i in range(5)]
     df = spark.createDataFrame(rows, "src int, pk int, pub string, Slot int")
     expected = place_all(rows)
-    for chunk, array in ((1000, 64), (1000, 1000), (1000, 0), (37, 8)):
-        got = {(r["src"], r["pk"]): r["new_slot"] for r in fill_slots(df, ["pub"], chunk, array).collect()}
-        assert got == expected, (chunk, array)
+    assert {(r["src"], r["pk"]): r["new_slot"] for r in fill_slots(df, ["pub"]).collect()} == expected
+
+
+def test_slots_below_zero_and_far_away(spark):
+    rng = random.Random(14)
+    rows = [(0, 1, "p", -3), (0, 2, "p", 5), (0, 3, "p", 5)]
+    rows += [(src, pk, f"q{pk % 5}", rng.choice([-2, -1, 0, 1, 2, 2**31 - 1])) for src in range(3) for pk in range(60)]
+    got = fill_slots(spark.createDataFrame(rows, "src int, pk int, pub string, Slot int"), ["pub"]).collect()
+    assert {(r["src"], r["pk"]): r["new_slot"] for r in got} == place_all(rows)
 
 
 def test_positions_of_a_hot_tag(spark):
@@ -113,9 +119,10 @@ def test_positions_of_a_hot_tag(spark):
     rows = []
     for tag in ("hot", "t1", "t2"):
         for i in range(150 if tag == "hot" else 10):
-            rows.append((tag, i, rng.randrange(60), i % 3 == 0))
+            rows.append((tag, i, rng.randrange(-20, 60), i % 3 == 0))
+    rows += [("below", i, p, True) for i, p in enumerate((-5, -5, 0, -3))] + [("below", 9, 7, False)]
     expected = {}
-    for tag in ("hot", "t1", "t2"):
+    for tag in ("hot", "t1", "t2", "below"):
         top, used = -1, set()
         mine = sorted((p, i) for t, i, p, first in rows if t == tag and first)
         for p, i in mine:
