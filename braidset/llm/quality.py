@@ -31,21 +31,23 @@ class Network:
     offset: float
 
 
-def _grid(texts: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes in rows of one stride, every text followed by at least one row of padding; first row of each text."""
+def _grid(texts: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes in rows of one stride, every text with a row of padding at its end; first row of each text, and which rows are last."""
     rows = np.array([-(-len(t) // STRIDE) + 1 for t in texts], np.int64)
     starts = np.cumsum(rows) - rows
     grid = np.full(int(rows.sum()) * STRIDE, _PAD, np.int16)
     for t, s in zip(texts, starts.tolist()):
         grid[s * STRIDE:s * STRIDE + len(t)] = np.frombuffer(t, np.uint8)
-    return grid.reshape(-1, STRIDE), starts
+    last = np.zeros(len(grid) // STRIDE, bool)
+    last[starts + rows - 1] = True
+    return grid.reshape(-1, STRIDE), starts, last
 
 
-def _activations(net: Network, grid: np.ndarray) -> np.ndarray:
-    """Filter outputs of every chunk; a chunk is a row and the next one."""
+def _activations(net: Network, grid: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Filter outputs of every chunk; a chunk is a row and the next one, or padding after a text's last row."""
     halves = net.embedding[grid].reshape(len(grid), -1) @ net.filters
     out = halves[:, :FILTERS].copy()
-    out[:-1] += halves[1:, FILTERS:]
+    out[:-1] += np.where(last[:-1, None], np.float32(0), halves[1:, FILTERS:])
     return out + net.bias
 
 
@@ -61,12 +63,11 @@ def score_texts(net: Network, texts: Sequence[bytes]) -> np.ndarray:
     for lo, hi in zip(cut, [*cut[1:], len(texts)]):
         if lo == hi:
             continue
-        grid, starts = _grid(texts[lo:hi])
-        # Blocks of rows overlap by one, so that every chunk is seen whole; the last row of a text is padding.
-        step, peaks = 1 << 15, []
+        grid, starts, last = _grid(texts[lo:hi])
+        step = 1 << 15  # blocks of rows overlap by one, so that every chunk is seen whole
         top = np.full((hi - lo, FILTERS), -np.inf, np.float32)
         for at in range(0, len(grid), step):
-            act = _activations(net, grid[at:at + step + 1])[:step]
+            act = _activations(net, grid[at:at + step + 1], last[at:at + step + 1])[:step]
             inside = np.searchsorted(starts, [at, at + len(act)])
             edges = np.unique(np.concatenate([[0], starts[inside[0]:inside[1]] - at]))
             owners = np.searchsorted(starts, edges + at, side="right") - 1
@@ -91,9 +92,9 @@ def fit(texts: Sequence[bytes], labels: np.ndarray, seed: int = 7, epochs: int =
         order = rng.permutation(len(texts))
         for lo in range(0, len(order), BATCH):
             pick = order[lo:lo + BATCH]
-            grid, starts = _grid([texts[i] for i in pick])
+            grid, starts, last = _grid([texts[i] for i in pick])
             net = Network(p["e"], p["f"], p["b"], p["w"], float(p["o"][0]))
-            act = _activations(net, grid)
+            act = _activations(net, grid, last)
             ends = np.append(starts[1:], len(grid))
             where = np.stack([act[s:e].argmax(axis=0) + s for s, e in zip(starts, ends)])  # (docs, filters)
             peak = np.maximum(act[where, np.arange(FILTERS)], 0)
@@ -105,6 +106,8 @@ def fit(texts: Sequence[bytes], labels: np.ndarray, seed: int = 7, epochs: int =
             g["f"], g["e"] = np.zeros_like(p["f"]), np.zeros_like(p["e"])
             for half in (0, 1):
                 seen = grid[np.minimum(where + half, len(grid) - 1)]  # (docs, filters, STRIDE)
+                if half:
+                    seen[last[where]] = _PAD
                 inputs = p["e"][seen].reshape(*where.shape, width)
                 cols = slice(half * FILTERS, (half + 1) * FILTERS)
                 g["f"][:, cols] = np.einsum("dfw,df->wf", inputs, dz)

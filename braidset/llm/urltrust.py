@@ -44,12 +44,15 @@ def host_edges(pages: DataFrame) -> DataFrame:
 
 
 def _spread(edges: DataFrame, seeds: DataFrame, damping: float, rounds: int) -> DataFrame:
-    """Personalised PageRank mass (host, mass) of ``seeds`` (host, seed) along edges (a, b, share)."""
+    """Personalised PageRank (host, mass) of ``seeds`` (host, seed) along edges (a, b, share).
+
+    Every step restarts from the seeds' own weight, so mass stays in pages: 1 / (1 - damping) times the usual share.
+    """
     mass = seeds.select("host", F.col("seed").alias("mass"))
     for _ in range(rounds):
         moved = mass.join(edges, mass["host"] == edges["a"]).groupBy("b").agg(F.sum(F.col("mass") * F.col("share")).alias("moved"))
         gained = moved.select(F.col("b").alias("host"), (F.lit(damping) * F.col("moved")).alias("mass"))
-        kept = seeds.select("host", ((1 - F.lit(damping)) * F.col("seed")).alias("mass"))
+        kept = seeds.select("host", F.col("seed").alias("mass"))
         mass = materialize(gained.unionByName(kept).groupBy("host").agg(F.sum("mass").alias("mass")), "mass")
     return mass
 
@@ -118,7 +121,7 @@ seeds AS (SELECT 't' AS kind, host, CAST(trusted AS DOUBLE) AS seed FROM hosts W
 walk AS (SELECT 0 AS step, kind, host, seed AS mass FROM seeds
   UNION ALL SELECT step, kind, host, sum(mass) FROM (
     SELECT w.step + 1 AS step, w.kind, e.b AS host, 0.85::DOUBLE * w.mass * e.share AS mass FROM walk w JOIN edges e ON e.kind = w.kind AND e.a = w.host WHERE w.step < 10
-    UNION ALL SELECT s.step + 1, seeds.kind, seeds.host, 0.15::DOUBLE * seeds.seed FROM seeds, (SELECT DISTINCT step FROM walk WHERE step < 10) s
+    UNION ALL SELECT s.step + 1, seeds.kind, seeds.host, seeds.seed FROM seeds, (SELECT DISTINCT step FROM walk WHERE step < 10) s
   ) GROUP BY step, kind, host),
 judged AS (SELECT h.host, CASE WHEN coalesce(d.mass, 0) - coalesce(t.mass, 0) >= 0.25 * h.pages THEN 'block' ELSE 'allow' END AS verdict FROM hosts h
   LEFT JOIN walk t ON t.kind = 't' AND t.step = 10 AND t.host = h.host LEFT JOIN walk d ON d.kind = 'd' AND d.step = 10 AND d.host = h.host)
