@@ -18,11 +18,24 @@ from braidset.sources.archives import read_archives
 from braidset.sources.manifest import admit_files, media_inventory, parse_manifest
 from braidset.sources.tables import build_manifest, collect_media, output_members, pick_thumbnail, read_snapshot, write_snapshot
 from braidset.plans.validate import check_roundtrip, fingerprint
-from rows import DEFAULTS
+from rows import DEFAULTS, recording
 from fleet import owner
 
 def rich():
-    return {**{t: [] for t in schema.TABLES}, **owner(11, 1, 1.0)[0]["rows"]}
+    """A device with rows in every table."""
+    rows = owner(11, 1, 1.0)[0]["rows"]
+    rows["Location"].append(recording(95, "talks", 3))
+    rows["IndependentMedia"] = [{"IndependentMediaId": 6, "FilePath": "pic.png", "Hash": "cafe"}]
+    rows["PlaylistItemAccuracy"] = [{"PlaylistItemAccuracyId": 2, "Description": "Rough"}]
+    rows["PlaylistItem"] = [{"PlaylistItemId": 8, "Label": "Morning walk", "Accuracy": 2, "ThumbnailFilePath": "pic.png"}]
+    rows["PlaylistItemIndependentMediaMap"] = [{"PlaylistItemId": 8, "IndependentMediaId": 6}]
+    rows["PlaylistItemLocationMap"] = [{"PlaylistItemId": 8, "LocationId": 95, "BaseDurationTicks": 4200}]
+    rows["PlaylistItemMarker"] = [{"PlaylistItemMarkerId": 4, "PlaylistItemId": 8, "StartTimeTicks": 60}]
+    rows["PlaylistItemMarkerBibleVerseMap"] = [{"PlaylistItemMarkerId": 4, "VerseId": 19023001}]
+    rows["PlaylistItemMarkerParagraphMap"] = [{"PlaylistItemMarkerId": 4, "MepsDocumentId": 77, "ParagraphIndex": 1}]
+    rows["Tag"].append({"TagId": 70, "Type": 2, "Name": "Walks"})
+    rows["TagMap"].append({"TagMapId": 900, "TagId": 70, "PlaylistItemId": 8, "Position": 0})
+    return rows
 
 
 SQL_TYPE = {"bigint": "INTEGER", "int": "INTEGER", "string": "TEXT"}
@@ -89,7 +102,7 @@ def test_archives_become_tables(fleet):
     assert b["DeviceName"] == "b.zip" and a["ok"] and b["ok"]
     for table in schema.TABLES:
         counts = {r["src"]: r["count"] for r in fleet["tables"][table].groupBy("src").count().collect()}
-        assert counts == ({0: len(rich()[table]), 1: len(rich()[table])} if rich()[table] else {}), table
+        assert counts == {0: len(rich()[table]), 1: len(rich()[table])}, table
 
 
 def test_incomplete_databases_contribute_nothing(fleet):
