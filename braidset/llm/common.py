@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 from collections.abc import Iterator
 from functools import reduce
 
@@ -20,10 +21,13 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def release_shuffles(spark: SparkSession) -> None:
     """Let go of the shuffle files of finished jobs, which a stage table has replaced.
 
-    Spark deletes them when the driver collects its garbage, and an idle driver puts that off while disks fill up.
+    Spark deletes them when the driver collects its garbage, and an idle driver puts that off while disks fill up. The
+    events of the last job still hold its plan for a moment, so the driver is asked twice.
     """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(1.5)
 
 
 def held_out(doc_id: Column) -> Column:
