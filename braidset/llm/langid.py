@@ -24,9 +24,10 @@ PENALTY = 12.0
 UNKNOWN = "und"
 _WORD = re.compile(r"[^\W\d_]+")
 _LONGEST = 32  # letters of one scored word; longer runs (scripts without spaces) are scored in parts
-_MEMO_LIMIT = 400_000
+_MEMO_LIMIT = 250_000
 _BLOCK = 20_000
-_SLICE_WORDS = 2_000_000
+_ROWS = 2000  # texts that are copied out of a batch at once
+_SLICE_WORDS = 800_000
 
 #: First code points of script ranges, in order.
 SCRIPTS = (
@@ -258,10 +259,13 @@ def language_of(model: Model, penalty: float = PENALTY):
     def label(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         scorer = _Scorer(model)
         for column in texts:
-            batch = pa.RecordBatch.from_arrays([pa.array(np.arange(len(column))), pa.array(column, pa.string(), from_pandas=True)], ["row", "text"])
-            found = [b.select([1, 2]).to_pandas() for b in _label(iter([batch]), model, penalty, schema, scorer)]
+            found = []
+            for lo in range(0, len(column), _ROWS):
+                part = pa.array(column.iloc[lo:lo + _ROWS], pa.string(), from_pandas=True)
+                batch = pa.RecordBatch.from_arrays([pa.array(np.arange(len(part))), part], ["row", "text"])
+                found += [b.select([1, 2]).to_pandas() for b in _label(iter([batch]), model, penalty, schema, scorer)]
+                if len(scorer) > _MEMO_LIMIT:
+                    scorer = _Scorer(model)
             yield pd.concat(found, ignore_index=True) if found else pd.DataFrame({"lang_pred": [], "score": []})
-            if len(scorer) > _MEMO_LIMIT:
-                scorer = _Scorer(model)
 
     return label

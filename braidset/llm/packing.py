@@ -16,7 +16,8 @@ from braidset.session import materialize
 
 WINDOW = 1024
 END_ID = 0
-_MEMO_LIMIT = 500_000
+#: Words that are kept with their ids; beyond that the most used half of as many stays.
+_MEMO_LIMIT = 240_000
 _BLOCK = 4096
 _SLICE_CHARS = 2 << 20
 
@@ -52,7 +53,19 @@ class Encoder:
         self.spaced[[i for token, i in vocabulary.items() if token.startswith("\u0120")]] = True  # how this vocabulary writes a space
         self._clear()
 
+    def _shrink(self) -> None:
+        """Keep the most used words; the others are encoded again when they come back."""
+        words, hits, (ids, at, odd) = list(self.words), self.hits, self.tables[id(self.words)]
+        kept = np.sort(np.argsort(-hits, kind="stable")[:_MEMO_LIMIT // 2])
+        self._clear()
+        sizes = np.diff(at)[kept]
+        take = np.repeat(at[kept] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+        self.words.update((words[i], n) for n, i in enumerate(kept.tolist()))
+        self.tables[id(self.words)] = [ids[take], np.concatenate([[0], np.cumsum(sizes)]), odd[kept]]
+        self.hits = hits[kept]
+
     def _clear(self) -> None:
+        self.hits = np.zeros(0, np.int64)
         self.words = _Words()
         self.firsts = _Words()
         self.tables = {id(t): [np.zeros(0, np.uint32), np.zeros(1, np.int64), np.zeros(0, bool)] for t in (self.words, self.firsts)}
@@ -89,14 +102,15 @@ class Encoder:
         return tuple(table)
 
     def encode(self, texts: Sequence[str]) -> list[np.ndarray]:
-        if len(self.words) + len(self.firsts) > _MEMO_LIMIT:
-            self._clear()
+        if len(self.words) > _MEMO_LIMIT or len(self.firsts) > _MEMO_LIMIT:
+            self._shrink()
         look = self.words.__getitem__
         parts = [t.split(" ") for t in texts]
         first = np.fromiter((self.firsts[p[0]] for p in parts), np.int64, len(parts))
         numbers = [np.array(list(map(look, p[1:])), np.int64) for p in parts]
         w_ids, w_at, w_odd = self._settle(self.words, " ")
         f_ids, f_at, f_odd = self._settle(self.firsts, "")
+        self.hits = np.bincount(np.concatenate([np.arange(0), *numbers]), minlength=len(self.words)) + np.pad(self.hits, (0, len(self.words) - len(self.hits)))
         out: list[np.ndarray] = []
         whole = [i for i, (f, n) in enumerate(zip(first, numbers)) if (f_odd[f] and parts[i] != [""]) or (len(n) and w_odd[n].any())]
         for f, n in zip(first, numbers):

@@ -10,8 +10,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-_NODE_LIMIT = 2_000_000
-_WORD_LIMIT = 400_000
+_NODE_LIMIT = 1_500_000
+_WORD_LIMIT = 300_000
 _SPACE = "▁"
 
 
@@ -100,7 +100,7 @@ def _count(batches: Iterator[pa.RecordBatch], path: str, schema: pa.Schema) -> I
 def token_counts(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_pretokens, n_tokens of every whole text; pre-tokens are its words, each with a space mark before it.
 
-    Each worker keeps one trie over the batches that it reads; a trie over two million nodes is begun anew, which changes
+    Each worker keeps one trie over the batches that it reads; a trie over one and a half million nodes is begun anew, which changes
     no count. No shuffle is needed. A null text, or one of white space only, has no tokens. Repeated rows are counted
     alike. An empty table gives no rows. Other columns are ignored. ``path`` must be readable on the executors.
     """
