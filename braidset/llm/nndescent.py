@@ -24,7 +24,7 @@ TREES = 10
 ROUNDS = 2
 LEAF = 96
 #: Rows of one local join or one block of a component.
-GROUP, BLOCK = 48, 512
+GROUP, BLOCK = 48, 128
 AUDIT, RECALL, PASSES = 256, 0.98, 3
 _MARGIN = 0.004  # more than half precision can be off
 
