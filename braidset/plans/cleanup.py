@@ -157,6 +157,7 @@ def apply_cleanups(tables: dict[str, DataFrame], scope: list[str], options: dict
         if chosen[name]:
             changed, acted = step(out.tables, out.scope)
             for table, df in changed.items():
-                out.tables[table] = df.select(*scope, *schema.columns(table))
+                # Later steps and all readers go on from what this step left, not from its joins.
+                out.tables[table] = materialize(df.select(*scope, *schema.columns(table)), f"clean-{table}")
             out.acted.update(acted)
     return out

@@ -70,6 +70,10 @@ def finalize(analysis: Analysis, resolutions: DataFrame | None = None) -> Result
         ranges = ranges.withColumn("BlockRangeId", F.col("fresh")).withColumn("UserMarkId", F.col("mark"))
         tables["BlockRange"] = tables["BlockRange"].unionByName(ranges.select(*sc, *range_columns))
 
+    # Counts, reference checks and health checks read these tables many times; the others are stage tables already.
+    for table in ("UserMark", "Note", "InputField", "BlockRange"):
+        tables[table] = materialize(tables[table], f"final-{table}")
+
     log = decided.select(
         *sc, "conflict_id", "kind", F.col("win_src").alias("winner_src"), "was_suggested", "kept_both", "overridden",
         "suggested_src", "n_candidates",
