@@ -383,6 +383,15 @@ def test_links_with_compared_shingles(documents):
     assert groups[2] == 1 and groups[3] == 3 and groups[4] == 4
 
 
+def test_equal_fingerprints_of_unlike_texts_stay_apart(documents):
+    rng = random.Random(13)
+    passage = words(rng, 15)
+    texts = [" ".join([passage] * 200 + [words(rng, 100, pool=90_000)]) for _ in range(6)] + [passage, passage.upper(), None, "  "]
+    assert len({simhash(t) for t in texts[:6]}) == 1
+    groups = {r["doc_id"]: r["component_id"] for r in simhash_groups(documents(list(enumerate(texts))), similarity=0.8).collect()}
+    assert groups == {**{i: i for i in range(6)}, 6: 6, 7: 6, 8: 8, 9: 8}
+
+
 # ---------------------------------------------------------------- 10 urls
 def test_url_rules_and_link_trust(spark):
     link = lambda *hosts: "".join(f'<a class="x" href="https://{h}/p">l</a>' for h in hosts)
