@@ -392,6 +392,31 @@ def test_equal_fingerprints_of_unlike_texts_stay_apart(documents):
     assert groups == {**{i: i for i in range(6)}, 6: 6, 7: 6, 8: 8, 9: 8}
 
 
+def shingle_set(text, k=5):
+    parts = text.split()
+    return {" ".join(parts[i:i + k]) for i in range(max(1, len(parts) - k + 1))}
+
+
+def like(a, b):
+    return len(a & b) >= 0.8 * len(a | b)
+
+
+def test_near_copies_beyond_the_bits(documents):
+    """Pairs with one contiguous edit, 0.8 alike, whatever their bits; beside 30 texts with a passage of their own in common."""
+    rng = random.Random(15)
+    texts = []
+    for _ in range(40):
+        parts = words(rng, 200, pool=90_000).split()
+        at = rng.randrange(170)
+        texts += [" ".join(parts), " ".join([*parts[:at], *words(rng, 17, pool=90_000).split(), *parts[at + 17:]])]
+    far = [(plain_simhash(texts[i]) ^ plain_simhash(texts[i + 1])).bit_count() > 11 for i in range(0, 80, 2)]
+    assert sum(far) >= 3 and all(like(shingle_set(texts[i]), shingle_set(texts[i + 1])) for i in range(0, 80, 2))
+    shared = words(rng, 100, pool=90_000)
+    texts += [shared + " " + words(rng, 60, pool=90_000) for _ in range(30)]
+    groups = {r["doc_id"]: r["component_id"] for r in simhash_groups(documents(list(enumerate(texts))), threshold=11, similarity=0.8).collect()}
+    assert groups == {i: i - i % 2 if i < 80 else i for i in range(len(texts))}
+
+
 # ---------------------------------------------------------------- 10 urls
 def test_url_rules_and_link_trust(spark):
     link = lambda *hosts: "".join(f'<a class="x" href="https://{h}/p">l</a>' for h in hosts)
