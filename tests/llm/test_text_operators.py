@@ -417,6 +417,40 @@ def test_near_copies_beyond_the_bits(documents):
     assert groups == {i: i - i % 2 if i < 80 else i for i in range(len(texts))}
 
 
+def test_family_of_variants_equals_all_links(documents):
+    """Variants that are closer to others in bits than to those they are 0.8 alike."""
+    rng = random.Random(16)
+    texts = []
+    for _ in range(6):
+        family = [words(rng, 200, pool=90_000).split()]
+        for _ in range(99):
+            parts = list(rng.choice(family))
+            for at in rng.sample(range(200), rng.randint(3, 6)):
+                parts[at] = f"edit{rng.randrange(10**6)}"
+            family.append(parts)
+        texts += map(" ".join, family)
+    sets, fps = [shingle_set(t) for t in texts], [plain_simhash(t) for t in texts]
+    parent = list(range(len(texts)))
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+    for a in range(len(texts)):
+        for b in range(a - a % 100, a):
+            if (fps[a] ^ fps[b]).bit_count() <= 11 and like(sets[a], sets[b]):
+                x, y = sorted((root(a), root(b)))
+                parent[y] = x
+    bits = [root(n) for n in range(len(texts))]
+    for a in range(len(texts)):
+        for b in range(a - a % 100, a):
+            if like(sets[a], sets[b]):
+                x, y = sorted((root(a), root(b)))
+                parent[y] = x
+    groups = {r["doc_id"]: r["component_id"] for r in simhash_groups(documents(list(enumerate(texts))), threshold=11, similarity=0.8).collect()}
+    assert all(groups[n] == groups[bits[n]] for n in groups)  # every link within 11 bits counts
+    assert groups == {n: root(n) for n in range(len(texts))} and len(set(bits)) < len(bits)
+
+
 # ---------------------------------------------------------------- 10 urls
 def test_url_rules_and_link_trust(spark):
     link = lambda *hosts: "".join(f'<a class="x" href="https://{h}/p">l</a>' for h in hosts)
