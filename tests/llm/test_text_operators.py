@@ -317,6 +317,18 @@ def test_near_vectors(spark):
     assert near_vectors(df.where("false")).count() == 0
 
 
+def test_links_across_groups_that_fill_the_lists(spark):
+    rng = np.random.default_rng(11)
+    one, other = np.linalg.qr(rng.normal(size=(64, 2)))[0].T
+    other = 0.93 * one + np.sqrt(1 - 0.93 ** 2) * other
+    vectors = [c + 0.008 * rng.normal(size=64) for c in (one, other) for _ in range(40)]
+    unit = np.array(vectors) / np.linalg.norm(vectors, axis=1)[:, None]
+    sims = unit @ unit.T
+    assert sims[:40, :40].min() > 0.98 and sims[:40, 40:].min() > 0.9 and sims[:40, 40:].max() < sims[:40, :40].min()
+    df = spark.createDataFrame([(i, list(map(float, v))) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    assert {(r["n_links"], r["component_id"]) for r in near_vectors(df).collect()} == {(79, 0)}
+
+
 # ---------------------------------------------------------------- 9 SimHash
 def plain_simhash(text, k=3):
     parts = (text or "").translate({c: c + 32 for c in range(65, 91)}).replace("\x0b", " ").replace("\x0c", " ").split() if text else []
