@@ -19,7 +19,7 @@ from braidset.llm import langid, quality
 from braidset.llm.common import components, held_out, running_sum
 from braidset.llm.imatch import imatch_fingerprints
 from braidset.llm.mixing import mix_documents
-from braidset.llm.nndescent import near_vectors
+from braidset.llm.nndescent import all_links, audit_recall, near_vectors
 from braidset.llm.packing import Encoder, best_fit_decreasing, pack, packed_documents, sequences, token_pieces
 from braidset.llm.runindex import WINDOW, RunIndex, repeated_passages
 from braidset.llm.simhash import Anchors, resemblance, simhash, simhash_groups, sketch
@@ -329,6 +329,22 @@ def test_links_across_groups_that_fill_the_lists(spark):
     assert {(r["n_links"], r["component_id"]) for r in near_vectors(df).collect()} == {(79, 0)}
 
 
+def test_audit_sees_small_groups_beside_a_hot_one(spark):
+    rng = np.random.default_rng(14)
+    hot = rng.normal(size=32) + 0.01 * rng.normal(size=(900, 32))
+    pairs = np.repeat(rng.normal(size=(40, 32)), 2, axis=0) + 0.01 * rng.normal(size=(80, 32))
+    units = np.concatenate([hot, pairs])
+    units /= np.linalg.norm(units, axis=1)[:, None]
+    df = spark.createDataFrame([(i, 32, bytearray(u.astype("<f8").tobytes())) for i, u in enumerate(units)], "cid long, dim int, unit binary")
+    hot_only = spark.createDataFrame([(i, 0) for i in range(900)], "node long, root long")
+    assert audit_recall(df, hot_only, 0.9) < 0.1
+    whole = hot_only.unionByName(spark.createDataFrame([(i, i - i % 2) for i in range(900, 980)], "node long, root long"))
+    assert audit_recall(df, whole, 0.9) == 1.0
+    rooted = df.join(hot_only.withColumnRenamed("node", "cid"), "cid", "left").selectExpr("cid", "coalesce(root, cid) AS root", "unit")
+    found = {(min(r), max(r)) for r in all_links(rooted, 980, 0.9).collect()}
+    assert found == {(i, i + 1) for i in range(900, 980, 2)}
+
+
 # ---------------------------------------------------------------- 9 SimHash
 def plain_simhash(text, k=3):
     parts = (text or "").translate({c: c + 32 for c in range(65, 91)}).replace("\x0b", " ").replace("\x0c", " ").split() if text else []
