@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _local_dirs: dict[str, str] = {}
+#: Deletes the shuffle files of a query when it ends.
+_LET_GO = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -27,17 +29,34 @@ def shared_dir(spark: SparkSession) -> str:
     return _local_dirs[app]
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write a stage result once as a table and continue from the table.
 
-    The written table survives lost executors, freezes values that are not
-    reproducible (partition-based numbering) and ends the lineage of the stage.
+    The written table survives lost executors, freezes values that are not reproducible (partition-based numbering) and ends the
+    lineage of the stage. The shuffle files of the job that wrote it are no longer needed and go with its end.
     """
     spark = df.sparkSession
     app = spark.sparkContext.applicationId
     path = f"{shared_dir(spark)}/braidset/{app}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(_LET_GO, None)
+    spark.conf.set(_LET_GO, "true")
+    try:
+        df.write.options(**options).parquet(path)
+    finally:
+        spark.conf.unset(_LET_GO) if before is None else spark.conf.set(_LET_GO, before)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.stage_path = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete stage tables that ``materialize`` wrote and that no later result reads; other frames are left alone."""
+    for table in tables:
+        path = getattr(table, "stage_path", None)
+        if path:
+            spark = table.sparkSession
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def configure(builder: SparkSession.Builder) -> SparkSession.Builder:
