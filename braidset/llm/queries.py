@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from braidset.llm import langid, quality
 from braidset.llm.common import held_out, read_table
 from braidset.llm.imatch import IMATCH_SQL, imatch_fingerprints
+from braidset.llm.infill import INFILL_SQL, fill_in_middle, restored
 from braidset.llm.mixing import MIX_SQL, mix_documents
 from braidset.llm.nndescent import near_vectors
 from braidset.llm.packing import packed_documents
@@ -17,6 +18,8 @@ from braidset.llm.runindex import repeated_passages
 from braidset.llm.simhash import hex_digits, simhash_groups
 from braidset.llm.tokencount import token_counts
 from braidset.llm.urltrust import URL_SQL, judge_urls
+from braidset.llm.variants import VARIANT_SQL, spelling_variants
+from braidset.llm.windowcut import WINDOW_SQL, repeated_windows
 
 
 def op1_runindex(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,5 +68,25 @@ def op10_urltrust(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(read_table(spark, sf_dir, "pages"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_runindex, op2_quality, op3_imatch, op4_langid, op5_tokencount, op6_packing, op7_mixing, op8_nndescent, op9_simhash, op10_urltrust)}
-ORACLES: dict[str, str] = {"op3_imatch": IMATCH_SQL, "op7_mixing": MIX_SQL, "op10_urltrust": URL_SQL}
+def op11_windowcut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = repeated_windows(read_table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda total, s: total + s["end"] - s["start"])
+    return cut.select("doc_id", "n_words", removed.alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op12_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_in_middle(read_table(spark, sf_dir, "documents"))
+    again = restored(F.col("output"), F.col("form"))
+    digest = lambda text: F.sha2(text.cast("binary"), 256)
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"), digest(again).alias("restored_sha256"))
+
+
+def op13_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(read_table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
+    op1_runindex, op2_quality, op3_imatch, op4_langid, op5_tokencount, op6_packing, op7_mixing, op8_nndescent, op9_simhash, op10_urltrust,
+    op11_windowcut, op12_infill, op13_variants)}
+ORACLES: dict[str, str] = {
+    "op3_imatch": IMATCH_SQL, "op7_mixing": MIX_SQL, "op10_urltrust": URL_SQL, "op11_windowcut": WINDOW_SQL, "op12_infill": INFILL_SQL, "op13_variants": VARIANT_SQL}
