@@ -22,12 +22,16 @@ BUCKETS = 1 << 16
 #: Cost of changing the language between two words, in the unit of the word scores.
 PENALTY = 12.0
 UNKNOWN = "und"
-_WORD = re.compile(r"[^\W\d_]+")
+# Numerals such as 1/2 in one character or Roman eight count as word characters but are no letters.
+_NUMERALS = "".join(c for c in map(chr, range(0x20000)) if c.isnumeric() and not c.isalpha() and not c.isdecimal())
+_WORD = re.compile(rf"[^\W\d_{_NUMERALS}]+")
 _LONGEST = 32  # letters of one scored word; longer runs (scripts without spaces) are scored in parts
 _MEMO_LIMIT = 250_000
 _BLOCK = 20_000
-_ROWS = 2000  # texts that are copied out of a batch at once
+_ROWS = 500  # rows of a batch that are filtered at once
 _SLICE_WORDS = 800_000
+_SLICE_BYTES = 1 << 20
+_FILTER_MEMO = 120_000  # words with scores beside a filtered batch
 
 #: First code points of script ranges, in order.
 SCRIPTS = (
@@ -249,23 +253,44 @@ def language_spans(docs: DataFrame, model: Model, penalty: float = PENALTY) -> D
     return slim.mapInArrow(lambda batches: _label(batches, model, penalty, schema), kind)
 
 
-def language_of(model: Model, penalty: float = PENALTY):
-    """The same decision as a column function of the text: struct(lang_pred, score)."""
-    fields = [("row", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64())]
-    span = pa.list_(pa.struct([("lang", pa.string()), ("first_word", pa.int64()), ("words", pa.int64()), ("letters", pa.int64())]))
-    schema = pa.schema([*fields, ("spans", span)])
+def _share_of_best(texts: pa.Array, model: Model, penalty: float, scorer: _Scorer) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row, numbers of the best languages, their shares of the letters) slice by slice; the number of languages means none."""
+    at = 0
+    while at < len(texts):
+        numbers, size, first = [], 0, at
+        while at < len(texts) and size < _SLICE_BYTES:
+            cell = texts[at]
+            found = words_of(cell.as_py() or "") if model.langs else []
+            numbers.append(np.array(list(map(scorer.__getitem__, found)), np.int32))
+            size += len(cell.as_buffer()) if cell.is_valid else 0
+            at += 1
+        scorer.settle()
+        flat = np.concatenate(numbers)
+        lengths = np.fromiter(map(len, numbers), np.int64, len(numbers))
+        labels = viterbi(scorer.table[flat], np.cumsum(lengths) - lengths, lengths, penalty)
+        owner = np.repeat(np.arange(len(lengths)), lengths)
+        width = len(model.langs) + 1
+        totals = np.bincount(owner * width + labels, scorer.letters[flat], len(lengths) * width).reshape(-1, width)
+        best = np.where(lengths > 0, totals[:, :-1].argmax(axis=1) if model.langs else 0, len(model.langs))
+        yield first, best, totals[np.arange(len(best)), best] / np.maximum(1, totals.sum(axis=1))
+
+
+def known_language(docs: DataFrame, model: Model, least: float = 0.5, penalty: float = PENALTY) -> DataFrame:
+    """The rows of ``docs``, all columns, whose best language has at least the share ``least`` of the letters of ``text``.
+
+    The labels are those of ``language_spans``; no spans are made, record batches are filtered as they are, and what is held
+    besides a batch is bounded by bytes of text. A text without a letter goes, a null one too; repeated rows go or stay together.
+    """
+    column = docs.columns.index("text")
 
-    @F.pandas_udf("lang_pred string, score double")
-    def label(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = _Scorer(model)
-        for column in texts:
-            found = []
-            for lo in range(0, len(column), _ROWS):
-                part = pa.array(column.iloc[lo:lo + _ROWS], pa.string(), from_pandas=True)
-                batch = pa.RecordBatch.from_arrays([pa.array(np.arange(len(part))), part], ["row", "text"])
-                found += [b.select([1, 2]).to_pandas() for b in _label(iter([batch]), model, penalty, schema, scorer)]
-                if len(scorer) > _MEMO_LIMIT:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, _ROWS):
+                part = batch.slice(lo, _ROWS)
+                if len(scorer) > _FILTER_MEMO:
                     scorer = _Scorer(model)
-            yield pd.concat(found, ignore_index=True) if found else pd.DataFrame({"lang_pred": [], "score": []})
+                for first, best, share in _share_of_best(part.column(column), model, penalty, scorer):
+                    yield part.slice(first, len(best)).filter(pa.array((best < len(model.langs)) & (share >= least)))
 
-    return label
+    return docs.mapInArrow(keep, docs.schema)

@@ -47,7 +47,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        #: Tokens that the library finds in a text before it cuts words.
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         vocabulary = self.tokenizer.get_vocab()
         self.spaced = np.zeros(max(vocabulary.values()) + 1, bool)
         self.spaced[[i for token, i in vocabulary.items() if token.startswith("\u0120")]] = True  # how this vocabulary writes a space
@@ -90,7 +91,7 @@ class Encoder:
     def _settle(self, words: _Words, space: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         table = self.tables[id(words)]
         if words.waiting:
-            odd = np.fromiter((not w or w[0].isspace() or w[-1].isspace() for w in words.waiting), bool, len(words.waiting))
+            odd = np.fromiter((not w or w[0].isspace() or w[-1].isspace() or any(t in w for t in self.added) for w in words.waiting), bool, len(words.waiting))
             plain = [w for w, o in zip(words.waiting, odd) if not o]
             ids = self._encode_words(plain) if space else [np.array(x, np.uint32) for x in self._encode(plain)]
             sizes = np.zeros(len(odd), np.int64)

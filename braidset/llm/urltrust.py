@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from braidset.session import materialize
+from braidset.session import discard, materialize
 
+#: Share of the seeds' mass that may be left where the walk ends.
+TOLERANCE = 1e-6
 #: (verdict, host and path): a rule holds for its host and all subdomains, where the path starts with the rule's.
 RULES = (
     ("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"),
@@ -43,27 +46,32 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return materialize(counted, "host-links")
 
 
-def _spread(edges: DataFrame, seeds: DataFrame, damping: float, rounds: int) -> DataFrame:
+def _spread(edges: DataFrame, seeds: DataFrame, damping: float, tolerance: float) -> DataFrame:
     """Personalised PageRank (host, mass) of ``seeds`` (host, seed) along edges (a, b, share).
 
-    Every step restarts from the seeds' own weight, so mass stays in pages: 1 / (1 - damping) times the usual share.
+    Mass stays in pages: 1 / (1 - damping) times the usual share. A step passes on what the step before brought to each host; it ends
+    where nothing is left to pass on, or less than ``tolerance`` of the seeds' mass, which damping bounds at
+    log(tolerance) / log(damping) steps.
     """
-    mass = seeds.select("host", F.col("seed").alias("mass"))
-    for _ in range(rounds):
-        moved = mass.join(edges, mass["host"] == edges["a"]).groupBy("b").agg(F.sum(F.col("mass") * F.col("share")).alias("moved"))
-        gained = moved.select(F.col("b").alias("host"), (F.lit(damping) * F.col("moved")).alias("mass"))
-        kept = seeds.select("host", F.col("seed").alias("mass"))
-        mass = materialize(gained.unionByName(kept).groupBy("host").agg(F.sum("mass").alias("mass")), "mass")
-    return mass
-
-
-def judge_hosts(pages: DataFrame, damping: float = 0.85, rounds: int = 10, limit: float = 0.25) -> DataFrame:
+    parts = [seeds.select("host", F.col("seed").alias("mass"))]
+    total = parts[0].agg(F.sum("mass").alias("s")).first()["s"] or 0.0
+    while total:
+        moved = parts[-1].join(edges, F.col("host") == F.col("a")).groupBy(F.col("b").alias("host"))
+        parts.append(materialize(moved.agg((F.lit(damping) * F.sum(F.col("mass") * F.col("share"))).alias("mass")), "mass"))
+        if (parts[-1].agg(F.sum("mass").alias("s")).first()["s"] or 0.0) < tolerance * total:
+            break
+    whole = materialize(reduce(DataFrame.unionByName, parts).groupBy("host").agg(F.sum("mass").alias("mass")), "mass")
+    discard(*parts)
+    return whole
+
+
+def judge_hosts(pages: DataFrame, damping: float = 0.85, tolerance: float = TOLERANCE, limit: float = 0.25) -> DataFrame:
     """(host, host_verdict) for the hosts of ``pages`` (host, path, html, hit).
 
     Trust starts at hosts with pages that a rule allows and follows links forward; distrust starts at
     hosts with pages that a rule blocks and follows links backward, from a page to those
     that link to it. Seeds weigh as many as their pages. Both are personalised PageRank over shares
-    of links, ``rounds`` steps. A host is blocked where distrust less trust reaches ``limit`` of its pages.
+    of links, up to ``tolerance`` of the seeds' mass. A host is blocked where distrust less trust reaches ``limit`` of its pages.
     """
     hosts = materialize(pages.groupBy("host").agg(
         F.count("*").alias("pages"),
@@ -75,14 +83,14 @@ def judge_hosts(pages: DataFrame, damping: float = 0.85, rounds: int = 10, limit
     forward = materialize(links.join(out, "src").select(F.col("src").alias("a"), F.col("dst").alias("b"), (F.col("links") / F.col("n")).alias("share")), "forward")
     into = links.groupBy("dst").agg(F.sum("links").alias("n"))
     backward = materialize(links.join(into, "dst").select(F.col("dst").alias("a"), F.col("src").alias("b"), (F.col("links") / F.col("n")).alias("share")), "backward")
-    trust = _spread(forward, hosts.where("trusted > 0").select("host", F.col("trusted").alias("seed")), damping, rounds)
-    distrust = _spread(backward, hosts.where("blocked > 0").select("host", F.col("blocked").alias("seed")), damping, rounds)
+    trust = _spread(forward, hosts.where("trusted > 0").select("host", F.col("trusted").alias("seed")), damping, tolerance)
+    distrust = _spread(backward, hosts.where("blocked > 0").select("host", F.col("blocked").alias("seed")), damping, tolerance)
     judged = hosts.join(trust.withColumnRenamed("mass", "trust"), "host", "left").join(distrust.withColumnRenamed("mass", "distrust"), "host", "left")
     worse = F.coalesce("distrust", F.lit(0.0)) - F.coalesce("trust", F.lit(0.0)) >= limit * F.col("pages")
     return judged.select("host", F.when(worse, "block").otherwise("allow").alias("host_verdict"))
 
 
-def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, damping: float = 0.85, rounds: int = 10, limit: float = 0.25) -> DataFrame:
+def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, damping: float = 0.85, tolerance: float = TOLERANCE, limit: float = 0.25) -> DataFrame:
     """page_id, host, path, rule, verdict of every page; see ``judge_hosts`` for pages without a rule.
 
     A null url or one without ``://`` has an empty host and path; such pages are a host of their own that
@@ -91,13 +99,14 @@ def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, dampi
     """
     cut = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), "html")
     cut = cut.withColumn("hit", matching_rule(F.col("host"), F.col("path"), rules))
-    hosts = materialize(judge_hosts(cut, damping, rounds, limit), "host-verdicts")
+    hosts = materialize(judge_hosts(cut, damping, tolerance, limit), "host-verdicts")
     return cut.join(hosts, "host", "left").select(
         "page_id", "host", "path", F.col("hit.rule").alias("rule"),
         F.coalesce(F.col("hit.verdict"), F.col("host_verdict"), F.lit("allow")).alias("verdict"),
     )
 
 
+#: 0.85 to the power of 86 is below the tolerance.
 URL_SQL = r"""
 WITH RECURSIVE cut AS (
   SELECT page_id, html, translate(coalesce(regexp_extract(url, '://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
@@ -119,11 +128,9 @@ edges AS (SELECT 't' AS kind, src AS a, dst AS b, links / sum(links) OVER (PARTI
 seeds AS (SELECT 't' AS kind, host, CAST(trusted AS DOUBLE) AS seed FROM hosts WHERE trusted > 0
   UNION ALL SELECT 'd', host, CAST(blocked AS DOUBLE) FROM hosts WHERE blocked > 0),
 walk AS (SELECT 0 AS step, kind, host, seed AS mass FROM seeds
-  UNION ALL SELECT step, kind, host, sum(mass) FROM (
-    SELECT w.step + 1 AS step, w.kind, e.b AS host, 0.85::DOUBLE * w.mass * e.share AS mass FROM walk w JOIN edges e ON e.kind = w.kind AND e.a = w.host WHERE w.step < 10
-    UNION ALL SELECT s.step + 1, seeds.kind, seeds.host, seeds.seed FROM seeds, (SELECT DISTINCT step FROM walk WHERE step < 10) s
-  ) GROUP BY step, kind, host),
+  UNION ALL SELECT w.step + 1, w.kind, e.b, 0.85::DOUBLE * sum(w.mass * e.share) FROM walk w JOIN edges e ON e.kind = w.kind AND e.a = w.host WHERE w.step < 86 GROUP BY w.step, w.kind, e.b),
+mass AS (SELECT kind, host, sum(mass) AS mass FROM walk GROUP BY kind, host),
 judged AS (SELECT h.host, CASE WHEN coalesce(d.mass, 0) - coalesce(t.mass, 0) >= 0.25 * h.pages THEN 'block' ELSE 'allow' END AS verdict FROM hosts h
-  LEFT JOIN walk t ON t.kind = 't' AND t.step = 10 AND t.host = h.host LEFT JOIN walk d ON d.kind = 'd' AND d.step = 10 AND d.host = h.host)
+  LEFT JOIN mass t ON t.kind = 't' AND t.host = h.host LEFT JOIN mass d ON d.kind = 'd' AND d.host = h.host)
 SELECT r.page_id, r.host, r.path, r.rule, coalesce(r.given, j.verdict) AS verdict FROM ruled r JOIN judged j USING (host)
 """
