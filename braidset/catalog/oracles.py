@@ -109,6 +109,7 @@ def _suggest(cands: str, by_row: bool) -> str:
 
 CTES = {
     **{f"s_{n}": derive.oracle_text(n) for n in derive.DERIVED},
+    **{f"d_{n}": derive.damaged_text(n, f"s_{n}") for n in derive.DAMAGE},
     "info": """SELECT src, LastModified, base || CASE WHEN n > 1 THEN ' (' || n || ')' ELSE '' END AS label FROM (
         SELECT src, LastModified, DeviceName AS base, row_number() OVER (PARTITION BY DeviceName ORDER BY src) AS n FROM s_sources)""",
     # ---- locations: n-th row of a full key in a source is the n-th entity
@@ -463,14 +464,14 @@ HEALTH = {
 }
 
 
-def _health_sql(code: str, merged: bool) -> str:
+def _health_sql(code: str, merged: bool, prefix: str = "s_") -> str:
     """Number of findings, per source or over the default result."""
     parts = []
     for text in HEALTH[code]:
         text = text.replace("{on:p}", "" if merged else "AND p.src = c.src").replace("{on:q}", "" if merged else "AND q.src = c.src")
         text = text.format(
-            t="f_" if merged else "s_", k="" if merged else "src, ", ku="" if merged else "u.src, ", onru="" if merged else "AND r.src = u.src",
-            files="(SELECT FilePath AS path FROM md_held)" if merged else "s_media_files",
+            t="f_" if merged else prefix, k="" if merged else "src, ", ku="" if merged else "u.src, ", onru="" if merged else "AND r.src = u.src",
+            files="(SELECT FilePath AS path FROM md_held)" if merged else f"{prefix}media_files",
         )
         parts.append(f"SELECT {'1 AS x' if merged else 'c.src'} {text}")
     rows = " UNION ALL ".join(parts)
@@ -653,6 +654,102 @@ _MANIFEST_VERSION = "CASE WHEN event_id % 5 = 0 OR event_id % 7 = 0 THEN NULL EL
 _MANIFEST_BAD = ("CASE WHEN event_id % 9 = 0 THEN 'not valid JSON' WHEN event_id % 10 = 0 THEN 'no userDataBackup' "
                  f"WHEN {_MANIFEST_VERSION} IS NULL THEN 'no numeric userDataBackup.schemaVersion' END")
 
+# ---- the damaged snapshots: rules, keys and references stated once more, on their own
+# What a row must not be, where the damaged rows are.
+BROKEN_ROWS = {
+    "Location": [
+        ("document or named place", "Type = 0 AND coalesce(DocumentId, 0) = 0 AND NOT (coalesce(KeySymbol, '') <> '' AND (Track IS NOT NULL OR coalesce(BookNumber, 0) <> 0))"),
+        ("publication", "Type = 1 AND (coalesce(BookNumber, 0) <> 0 OR coalesce(ChapterNumber, 0) <> 0 OR coalesce(DocumentId, 0) <> 0 OR coalesce(KeySymbol, '') = '' OR Track IS NOT NULL)"),
+        ("recording", "Type IN (2, 3) AND (coalesce(BookNumber, 0) <> 0 OR coalesce(ChapterNumber, 0) <> 0)"),
+        ("IssueTagNumber is set", "IssueTagNumber IS NULL"),
+    ],
+    "UserMark": [("ColorIndex is set", "ColorIndex IS NULL")],
+    "BlockRange": [("block type", "BlockType NOT IN (1, 2)")],
+    "Note": [("block pair", "(BlockType = 0) <> (BlockIdentifier IS NULL)"), ("Guid is set", "Guid IS NULL")],
+    "Bookmark": [("block pair", "(BlockType = 0) <> (BlockIdentifier IS NULL)")],
+    "IndependentMedia": [("original name", "OriginalFilename = ''"), ("path", "FilePath = ''"), ("mime type", "MimeType = ''"), ("hash", "Hash = ''")],
+    "Tag": [("name", "Name = ''"), ("type", "Type NOT IN (0, 1, 2)")],
+    "PlaylistItem": [("label", "Label = ''"), ("end action", "EndAction NOT IN (0, 1, 2, 3)")],
+    "PlaylistItemMarkerParagraphMap": [("ParagraphIndex is set", "ParagraphIndex IS NULL")],
+    "TagMap": [("one target", "(NoteId IS NULL AND LocationId IS NULL AND PlaylistItemId IS NULL) OR (NoteId IS NOT NULL AND LocationId IS NOT NULL) "
+                "OR (NoteId IS NOT NULL AND PlaylistItemId IS NOT NULL) OR (LocationId IS NOT NULL AND PlaylistItemId IS NOT NULL)")],
+}
+# What must not repeat in a source, the primary key first.
+SINGLE = {
+    "Location": [("primary key", "LocationId"), ("place", "BookNumber, ChapterNumber, KeySymbol, MepsLanguage, Type"),
+                 ("media", "KeySymbol, IssueTagNumber, MepsLanguage, DocumentId, Track, Type, coalesce(Specialty, ''), coalesce(Edition, '')")],
+    "UserMark": [("primary key", "UserMarkId"), ("guid", "UserMarkGuid")],
+    "IndependentMedia": [("primary key", "IndependentMediaId"), ("path", "FilePath")],
+    "BlockRange": [("primary key", "BlockRangeId")],
+    "Note": [("primary key", "NoteId"), ("guid", "Guid")],
+    "Bookmark": [("primary key", "BookmarkId"), ("slot", "PublicationLocationId, Slot")],
+    "InputField": [("primary key", "LocationId, TextTag")],
+    "Tag": [("primary key", "TagId"), ("name", "Type, Name")],
+    "PlaylistItemAccuracy": [("primary key", "PlaylistItemAccuracyId"), ("description", "Description")],
+    "PlaylistItem": [("primary key", "PlaylistItemId")],
+    "PlaylistItemLocationMap": [("primary key", "PlaylistItemId, LocationId")],
+    "PlaylistItemIndependentMediaMap": [("primary key", "PlaylistItemId, IndependentMediaId")],
+    "PlaylistItemMarker": [("primary key", "PlaylistItemMarkerId"), ("start", "PlaylistItemId, StartTimeTicks")],
+    "PlaylistItemMarkerBibleVerseMap": [("primary key", "PlaylistItemMarkerId, VerseId")],
+    "PlaylistItemMarkerParagraphMap": [("primary key", "PlaylistItemMarkerId, MepsDocumentId, ParagraphIndex, MarkerIndexWithinParagraph")],
+    "TagMap": [("primary key", "TagMapId"), ("position", "TagId, Position"), ("note", "TagId, NoteId"), ("location", "TagId, LocationId"), ("item", "TagId, PlaylistItemId")],
+}
+# Column and parent (whose first column it is, but for thumbnails).
+REFERS = {
+    "UserMark": [("LocationId", "Location")], "BlockRange": [("UserMarkId", "UserMark")], "Note": [("UserMarkId", "UserMark"), ("LocationId", "Location")],
+    "Bookmark": [("LocationId", "Location"), ("PublicationLocationId", "Location")], "InputField": [("LocationId", "Location")],
+    "PlaylistItem": [("Accuracy", "PlaylistItemAccuracy"), ("ThumbnailFilePath", "IndependentMedia")],
+    "PlaylistItemLocationMap": [("PlaylistItemId", "PlaylistItem"), ("LocationId", "Location")],
+    "PlaylistItemIndependentMediaMap": [("PlaylistItemId", "PlaylistItem"), ("IndependentMediaId", "IndependentMedia")],
+    "PlaylistItemMarker": [("PlaylistItemId", "PlaylistItem")], "PlaylistItemMarkerBibleVerseMap": [("PlaylistItemMarkerId", "PlaylistItemMarker")],
+    "PlaylistItemMarkerParagraphMap": [("PlaylistItemMarkerId", "PlaylistItemMarker")],
+    "TagMap": [("TagId", "Tag"), ("PlaylistItemId", "PlaylistItem"), ("LocationId", "Location"), ("NoteId", "Note")],
+}
+
+
+def _set(keys: str) -> str:
+    return " AND ".join(f"({k}) IS NOT NULL" for k in re.sub(r"coalesce\([^)]*\)", "1", keys).split(", "))
+
+
+def _absent(child: str, column: str, parent: str, prefix: str) -> str:
+    key = {"ThumbnailFilePath": "FilePath"}.get(column, parent + "Id")
+    return f"FROM {child} c WHERE c.{column} IS NOT NULL AND NOT EXISTS (SELECT 1 FROM {prefix}{parent} p WHERE p.src = c.src AND p.{key} = c.{column})"
+
+
+for _t, _keys in SINGLE.items():
+    CTES[f"dr_{_t}"] = f"SELECT *, row_number() OVER () AS rid FROM d_{_t}"
+    _bad = [f"SELECT src, rid, '{rule}' AS rule FROM dr_{_t} WHERE {broken}" for rule, broken in BROKEN_ROWS.get(_t, [])]
+    _bad += [f"SELECT src, rid, 'unique {name}' AS rule FROM (SELECT *, row_number() OVER (PARTITION BY src, {key} ORDER BY {_keys[0][1]}, rid) AS nth FROM dr_{_t} WHERE {_set(key)}) WHERE nth > 1"
+             for name, key in _keys]
+    _bad += [f"SELECT c.src, rid, '{column} refers to {parent}' AS rule {_absent('dr_' + _t, column, parent, 'ok_')}" for column, parent in REFERS.get(_t, [])]
+    CTES[f"bad_{_t}"] = " UNION ALL ".join(_bad)
+    CTES[f"ok_{_t}"] = f"SELECT * FROM dr_{_t} WHERE rid NOT IN (SELECT rid FROM bad_{_t})"
+
+# Clean-ups of each damaged source, one after the other.
+_D_EMPTY = f"{norm('n.Title')} = '' AND {norm('n.Content')} = ''"
+CTES["dc_gone_notes"] = f"SELECT src, NoteId FROM d_Note n WHERE {_D_EMPTY} AND NOT EXISTS (SELECT 1 FROM d_TagMap t WHERE t.src = n.src AND t.NoteId = n.NoteId)"
+CTES["dc_notes"] = "SELECT * FROM d_Note n WHERE NOT EXISTS (SELECT 1 FROM dc_gone_notes g WHERE g.src = n.src AND g.NoteId = n.NoteId)"
+CTES["dc_gone_marks"] = "SELECT src, UserMarkId FROM d_UserMark u WHERE NOT EXISTS (SELECT 1 FROM d_BlockRange b WHERE b.src = u.src AND b.UserMarkId = u.UserMarkId)"
+CTES["dc_prints"] = """SELECT src, UserMarkId, string_agg(sig, ',' ORDER BY sig) AS rs FROM (SELECT src, UserMarkId, concat_ws('|', BlockType, Identifier,
+    coalesce(CAST(StartToken AS VARCHAR), '-'), coalesce(CAST(EndToken AS VARCHAR), '-')) AS sig FROM d_BlockRange) GROUP BY src, UserMarkId"""
+CTES["dc_marks"] = """SELECT u.src, u.UserMarkId, u.LocationId, row_number() OVER (PARTITION BY u.src, u.LocationId, ColorIndex, StyleIndex, rs
+      ORDER BY coalesce(k.n, 0) DESC, u.UserMarkId) AS nth, first_value(u.UserMarkId) OVER (PARTITION BY u.src, u.LocationId, ColorIndex, StyleIndex, rs ORDER BY coalesce(k.n, 0) DESC, u.UserMarkId) AS keeper
+    FROM d_UserMark u JOIN dc_prints p ON p.src = u.src AND p.UserMarkId = u.UserMarkId
+    LEFT JOIN (SELECT src, UserMarkId, count(*) AS n FROM dc_notes GROUP BY src, UserMarkId) k ON k.src = u.src AND k.UserMarkId = u.UserMarkId"""
+CTES["dc_gone_media"] = """SELECT src, IndependentMediaId FROM d_IndependentMedia m WHERE NOT EXISTS (SELECT 1 FROM d_PlaylistItemIndependentMediaMap i WHERE i.src = m.src AND i.IndependentMediaId = m.IndependentMediaId)
+    AND NOT EXISTS (SELECT 1 FROM d_PlaylistItem i WHERE i.src = m.src AND i.ThumbnailFilePath = m.FilePath)"""
+CTES["dc_uses"] = """SELECT src, LocationId FROM dc_notes UNION SELECT src, LocationId FROM dc_marks WHERE nth = 1 UNION SELECT src, LocationId FROM d_Bookmark UNION SELECT src, PublicationLocationId FROM d_Bookmark
+    UNION SELECT src, LocationId FROM d_InputField UNION SELECT src, LocationId FROM d_TagMap UNION SELECT src, LocationId FROM d_PlaylistItemLocationMap"""
+
+_LATE_STEP = "{y}.ts > {x}.ts OR ({y}.ts = {x}.ts AND {x}.said <> {y}.said AND {later})"
+_LATE_NOTES = f"""WITH n AS (SELECT src, Guid, Title, Content, LastModified, {millis('LastModified')} AS ts, {norm('Title')} || chr(31) || {norm('Content')} AS said FROM s_Note),
+    early AS (SELECT coalesce(a.Guid, b.Guid) AS Guid, CASE WHEN a.Guid IS NULL OR coalesce({_LATE_STEP.format(x='a', y='b', later='true')}, false) THEN 1 ELSE 0 END AS src
+      FROM (SELECT * FROM n WHERE src = 0) a FULL JOIN (SELECT * FROM n WHERE src = 1) b ON a.Guid = b.Guid),
+    first AS (SELECT n.* FROM early e JOIN n ON n.Guid = e.Guid AND n.src = e.src),
+    pick AS (SELECT coalesce(f.Guid, c.Guid) AS Guid, CASE WHEN f.Guid IS NULL OR coalesce({_LATE_STEP.format(x='f', y='c', later='false')}, false) THEN 2 ELSE f.src END AS src
+      FROM first f FULL JOIN (SELECT * FROM n WHERE src = 2) c ON f.Guid = c.Guid)
+    SELECT n.Guid, n.Title, n.Content, n.LastModified FROM pick p JOIN n ON n.Guid = p.Guid AND n.src = p.src"""
+
 _FINAL = {
     **{f"merge_{q}": f"SELECT {_cols(t)} FROM m_{t}" for q, t in {
         "notes": "Note", "locations": "Location", "user_marks": "UserMark", "block_ranges": "BlockRange", "media": "IndependentMedia",
@@ -726,8 +823,32 @@ _FINAL = {
     "unique_violations": _UNIQUE,
     "reconcile_counts": """SELECT "table", max_source, max_carried, sum_source, final, removed, final <= sum_source AND (final >= max_carried - removed OR "table" = 'BlockRange') AS ok
         FROM (SELECT e.*, f.n - coalesce(l.n, 0) AS final, coalesce(l.n, 0) AS removed FROM expect e JOIN final_n f USING ("table") LEFT JOIN lost l USING ("table"))""",
-    "roundtrip": "SELECT \"table\", n AS expected, n AS final, true AS same FROM final_n",
-    "idempotent_remerge": "SELECT \"table\", n FROM final_n",
+    "roundtrip": "SELECT \"table\", n AS expected, n AS final, true AS same, true AS contents, CAST(0 AS BIGINT) AS dangling FROM final_n",
+    "roundtrip_changed": """SELECT "table", n AS expected, CASE WHEN lost THEN 0 ELSE n END AS final, NOT lost AS same, NOT lost AND "table" <> 'Note' AS contents,
+        CASE WHEN "table" = 'PlaylistItem' THEN n ELSE 0 END AS dangling FROM (SELECT *, "table" = 'PlaylistItemAccuracy' AS lost FROM final_n)""",
+    "idempotent_remerge": "SELECT \"table\", n, true AS same FROM final_n",
+    "late_notes": _LATE_NOTES,
+    "late_counts": "SELECT \"table\", n FROM final_n WHERE \"table\" IN ('Location', 'UserMark', 'Note', 'Tag', 'IndependentMedia', 'InputField', 'Bookmark')",
+    "health_damaged": " UNION ALL ".join(_health_sql(c[0], False, "d_") for c in CHECKS),
+    "row_rules_damaged": " UNION ALL ".join(
+        f"SELECT src, '{t}' AS \"table\", '{rule}' AS rule, count(*) AS violations FROM d_{t} WHERE {broken} GROUP BY src" for t, rules in BROKEN_ROWS.items() for rule, broken in rules),
+    "unique_damaged": " UNION ALL ".join(
+        f"SELECT src, '{t}' AS \"table\", '{name}' AS \"constraint\", count(*) AS violations FROM (SELECT src FROM d_{t} WHERE {_set(key)} GROUP BY src, {key} HAVING count(*) > 1) GROUP BY src"
+        for t, keys in SINGLE.items() for name, key in keys),
+    "references_damaged": " UNION ALL ".join(
+        f"SELECT c.src, '{t}' AS \"table\", '{column}' AS \"column\", count(*) AS violations {_absent('d_' + t, column, parent, 'd_')} GROUP BY c.src"
+        for t, refs in REFERS.items() for column, parent in refs),
+    "write_rejects": " UNION ALL ".join(f"SELECT src, '{t}' AS \"table\", rule, count(*) AS n FROM bad_{t} GROUP BY src, rule" for t in SINGLE),
+    "write_split": " UNION ALL ".join(
+        f"SELECT '{t}' AS \"table\", (SELECT count(*) FROM ok_{t}) AS final, true AS same, true AS contents, CAST(0 AS BIGINT) AS dangling" for t in SINGLE),
+    "cleanup_damaged": """SELECT src, action, count(*) AS n FROM (
+        SELECT src, 'emptyNotes' AS action FROM dc_gone_notes UNION ALL SELECT src, 'rangelessHighlights' FROM dc_gone_marks
+        UNION ALL SELECT n.src, 'notesDetached' FROM dc_notes n JOIN dc_gone_marks g ON g.src = n.src AND g.UserMarkId = n.UserMarkId
+        UNION ALL SELECT src, 'duplicateHighlights' FROM dc_marks WHERE nth > 1
+        UNION ALL SELECT n.src, 'notesReattached' FROM dc_notes n JOIN dc_marks m ON m.src = n.src AND m.UserMarkId = n.UserMarkId WHERE nth > 1
+        UNION ALL SELECT src, 'unusedMedia' FROM dc_gone_media
+        UNION ALL SELECT src, 'emptyPlaylists' FROM d_Tag g WHERE Type = 2 AND NOT EXISTS (SELECT 1 FROM d_TagMap t WHERE t.src = g.src AND t.TagId = g.TagId)
+        UNION ALL SELECT src, 'unreferencedLocations' FROM d_Location l WHERE NOT EXISTS (SELECT 1 FROM dc_uses u WHERE u.src = l.src AND u.LocationId = l.LocationId)) GROUP BY src, action""",
     "traceability": """SELECT s."table", CAST(0 AS BIGINT) AS untraced, CAST(0 AS BIGINT) AS missing, CAST(0 AS BIGINT) AS leaked, CAST(coalesce(sum(dropped), 0) AS BIGINT) AS dropped
         FROM source_n s LEFT JOIN dropped d ON d.src = s.src AND d."table" = s."table" GROUP BY s."table\"""",
     "content_digest": _digest("Location"),

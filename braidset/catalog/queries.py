@@ -7,6 +7,7 @@ as queries ask for it, and its stage tables are shared by the queries.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -18,8 +19,9 @@ from braidset.functions import hashing, keys as K, text as X, timestamps as TS
 from braidset.operators.conflicts import mark_identical, update_resolutions
 from braidset.plans import cleanup, compatibility, finalize as fin, health, report, validate
 from braidset.plans.analyze import Analysis
-from braidset.sources import manifest, tables as io
-from braidset.streaming.increment import merge_increment
+from braidset.session import shared_dir
+from braidset.sources import manifest, publish as gate, tables as io
+from braidset.streaming.increment import merge_late
 
 _shared: dict[tuple, object] = {}
 
@@ -75,6 +77,41 @@ def _merged_health(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _once(spark, sf_dir, "health", make)
 
 
+def _damaged(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The damaged snapshots as stage tables; every source is a set of its own (key ``src``)."""
+    return _once(spark, sf_dir, "damaged", lambda: {n: fin.materialize(df, f"damaged-{n}") for n, df in derive.damaged_tables(spark, sf_dir).items()})
+
+
+def _health_damaged(spark: SparkSession, sf: str) -> DataFrame:
+    """All checks on the damaged snapshots; every one has findings."""
+    t = _damaged(spark, sf)
+    found = health.Health(t, ["src"], t["media_files"].select("src", "path")).counts()
+    return found.select("src", "code", F.col("count").cast("bigint").alias("count"))
+
+
+def _broken(check: Callable) -> Callable:
+    return lambda spark, sf: check(_damaged(spark, sf), ["src"]).where("violations > 0")
+
+
+def _write_rejects(spark: SparkSession, sf: str) -> DataFrame:
+    """What keeps the damaged snapshots from being published, children of rejected rows included."""
+    rejects, _ = gate.find_rejects(_damaged(spark, sf), ["src"])
+    return rejects.groupBy("src", "table", "rule").agg(F.count("*").alias("n"))
+
+
+def _write_split(spark: SparkSession, sf: str) -> DataFrame:
+    """The damaged snapshots published without their offending rows, proved and counted as read back."""
+    root = f"{shared_dir(spark)}/braidset/out-{uuid.uuid4().hex}"
+    gate.publish(_damaged(spark, sf), root, 1, ["src"], split=True)
+    proof = gate.prove_published(spark, root, 1, [("src", "int")])
+    return proof.select("table", "final", "same", "contents", "dangling")
+
+
+def _cleanup_damaged(spark: SparkSession, sf: str) -> DataFrame:
+    done = cleanup.apply_cleanups(_damaged(spark, sf), ["src"], {n: True for n in cleanup.DEFAULTS})
+    return done.summary().select("src", "action", F.col("n").cast("bigint").alias("n"))
+
+
 def _merged(table: str) -> Callable:
     return lambda spark, sf: analysis(spark, sf).merged(table)
 
@@ -167,16 +204,28 @@ def _validation(spark: SparkSession, sf: str) -> DataFrame:
                        F.size("errors").cast("bigint").alias("n_errors"))
 
 
+def _written(spark: SparkSession, sf: str) -> str:
+    """Folder of the default result, published as version 1."""
+    root = f"{shared_dir(spark)}/braidset/out-{uuid.uuid4().hex}"
+    gate.publish(_default(spark, sf).tables, root, 1, [])
+    return root
+
+
 def _roundtrip(spark: SparkSession, sf: str) -> DataFrame:
-    """The default result written, read back and counted."""
-    import uuid
+    """The default result checked, written and published; rows, contents and references as read back."""
+    return gate.prove_published(spark, _written(spark, sf), 1)
 
-    from braidset.session import shared_dir
 
-    result = _default(spark, sf)
-    path = f"{shared_dir(spark)}/braidset/out-{uuid.uuid4().hex}"
-    io.write_snapshot(result.tables, path, [])
-    return validate.check_roundtrip(result.tables, io.read_snapshot(spark, path), [])
+def _roundtrip_changed(spark: SparkSession, sf: str) -> DataFrame:
+    """The same after a cell of the written notes was changed and the written accuracies were lost."""
+    root = _written(spark, sf)
+    folders = gate.marker(spark, root, 1)
+    notes = gate.read_published(spark, root, 1)["Note"]
+    changed = notes.withColumn("Title", F.when(F.col("NoteId") == 1, F.concat(F.coalesce("Title", F.lit("")), F.lit("!"))).otherwise(F.col("Title")))
+    changed = fin.materialize(changed, "changed-notes")
+    changed.write.mode("overwrite").parquet(f"{root}/{folders['Note']['folder']}")
+    spark.createDataFrame([], schema.struct_type("PlaylistItemAccuracy")).write.mode("overwrite").parquet(f"{root}/{folders['PlaylistItemAccuracy']['folder']}")
+    return gate.prove_published(spark, root, 1)
 
 
 def _traceability(spark: SparkSession, sf: str) -> DataFrame:
@@ -185,16 +234,50 @@ def _traceability(spark: SparkSession, sf: str) -> DataFrame:
     return done.select("table", *[F.col(c).cast("bigint").alias(c) for c in ("untraced", "missing", "leaked", "dropped")])
 
 
-def _remerge(spark: SparkSession, sf: str) -> DataFrame:
-    """Counts after the default result arrives once more as a late snapshot of itself."""
-    a, result = analysis(spark, sf), _default(spark, sf)
-    about = a.compatibility.select(
+def _about(a: Analysis) -> DataFrame:
+    return a.compatibility.select(
         F.lit("merged.zip").alias("FileName"), F.lit("Merged").alias("DeviceName"), F.col("schema_version").alias("SchemaVersion"),
         F.col("migration_id").alias("MigrationId"), F.col("user_version").alias("UserVersion"), F.col("latest_last_modified").alias("LastModified"),
     )
-    late = {name: df.withColumn("src", F.lit(0)) for name, df in result.tables.items()}
-    again = merge_increment(result.tables, about, late, about.withColumn("src", F.lit(0)))
-    return fin.table_counts(fin.finalize(again).tables, [])
+
+
+def _sound(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
+    """The default result without references to no row (as a result must be that goes on being merged)."""
+    return _once(spark, sf, "sound", lambda: {n: fin.materialize(df, f"sound-{n}") for n, df in gate.find_rejects(_default(spark, sf).tables, [])[1].items()})
+
+
+def _remerge(spark: SparkSession, sf: str) -> DataFrame:
+    """The default result arrives once more as a late snapshot of itself: every table keeps its contents, ids included."""
+    result, about = _sound(spark, sf), _about(analysis(spark, sf))
+    late = {name: df.withColumn("src", F.lit(0)) for name, df in result.items()}
+    again = merge_late(result, about, late, about.withColumn("src", F.lit(0))).finalize()
+    before = validate.fingerprint(result, []).withColumnRenamed("digest", "before").drop("n")
+    after = validate.fingerprint({t: again.tables[t].select(result[t].columns) for t in result}, [])
+    return after.join(before, "table").select("table", "n", (F.col("digest") == F.col("before")).alias("same"))
+
+
+def _late(spark: SparkSession, sf: str) -> fin.Result:
+    """Two snapshots merged, then the third as a late one: rows both know, changed rows and new ones."""
+    def make() -> fin.Result:
+        tables, sources = derive.snapshot_tables(spark, sf), derive.derived(spark, sf, "sources")
+        files = derive.media_files(spark, sf)
+        early = Analysis({t: df.where("src < 2") for t, df in tables.items()}, sources.where("src < 2"), [], files.where("src < 2"))
+        first = fin.finalize(early).tables
+        first = gate.find_rejects(first, [])[1]
+        third = {t: df.where("src = 2").withColumn("src", F.lit(0)) for t, df in tables.items()}
+        return merge_late(first, _about(early), third, sources.where("src = 2").withColumn("src", F.lit(0)), [],
+                          files.where("src = 2").withColumn("src", F.lit(0))).finalize()
+
+    return _once(spark, sf, "late", make)
+
+
+def _late_notes(spark: SparkSession, sf: str) -> DataFrame:
+    notes = _late(spark, sf).tables["Note"]
+    return notes.select("Guid", "Title", "Content", "LastModified")
+
+
+def _late_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return fin.table_counts({t: _late(spark, sf).tables[t] for t in ("Location", "UserMark", "Note", "Tag", "IndependentMedia", "InputField", "Bookmark")}, [])
 
 
 def _auto_summary(spark: SparkSession, sf: str) -> DataFrame:
@@ -493,8 +576,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "reconcile_counts": _reconcile_counts,
     "validation_report": _validation,
     "roundtrip": _roundtrip,
+    "roundtrip_changed": _roundtrip_changed,
+    "health_damaged": _health_damaged,
+    "row_rules_damaged": _broken(validate.constraint_violations),
+    "unique_damaged": _broken(validate.unique_violations),
+    "references_damaged": _broken(validate.fk_violations),
+    "write_rejects": _write_rejects,
+    "write_split": _write_split,
+    "cleanup_damaged": _cleanup_damaged,
     "traceability": _traceability,
     "idempotent_remerge": _remerge,
+    "late_notes": _late_notes,
+    "late_counts": _late_counts,
     "content_digest": _digest,
     "fingerprint": _fingerprint,
     "output_manifest": _manifest,

@@ -7,6 +7,8 @@ created it (``ent_src``, ``ent_pk``); dense global ids follow the order of creat
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, functions as F
 
 from braidset.operators.ordinals import ordinal_within
@@ -31,19 +33,36 @@ def match_by_key(rows: DataFrame, scope: list[str], key: str) -> DataFrame:
     return joined.select(*scope, "src", "pk", F.col("_e.src").alias("ent_src"), F.col("_e.pk").alias("ent_pk"))
 
 
-def number_entities(matched: DataFrame, scope: list[str]) -> DataFrame:
+def keep_ids(tops: DataFrame) -> Callable[..., DataFrame]:
+    """An ``allocate_ids`` for source 0 being an earlier result: its entities keep their own ids.
+
+    All others follow, in order, above ``tops`` (``[*scope, _top]``, the highest id of that result; none counts as 0).
+    """
+    def allocate(entities: DataFrame, scope: list[str], order: list[str], out: str = "gid") -> DataFrame:
+        src, pk = ("ent_src", "ent_pk") if "ent_src" in entities.columns else ("src", "pk")
+        kept = entities.where(F.col(src) == 0).withColumn(out, F.col(pk).cast("bigint"))
+        new = ordinal_within(entities.where(F.col(src) != 0), scope, order, out)
+        key = scope or ["_one"]  # without a scope a single row, met by a constant key
+        high = tops if scope else F.broadcast(tops.withColumn("_one", F.lit(1)))
+        new = new.withColumn("_one", F.lit(1)).join(high, key, "left").withColumn(out, F.col(out) + F.coalesce("_top", F.lit(0)))
+        return kept.unionByName(new.select(*kept.columns))
+
+    return allocate
+
+
+def number_entities(matched: DataFrame, scope: list[str], allocate: Callable[..., DataFrame] = allocate_ids) -> DataFrame:
     """Add ``gid`` to rows matched to entities."""
     matched = materialize(matched, "matched")
     created = matched.where((F.col("src") == F.col("ent_src")) & (F.col("pk") == F.col("ent_pk")))
-    ids = allocate_ids(created.select(*scope, "ent_src", "ent_pk"), scope, ["ent_src", "ent_pk"])
+    ids = allocate(created.select(*scope, "ent_src", "ent_pk"), scope, ["ent_src", "ent_pk"])
     return matched.join(ids, [*scope, "ent_src", "ent_pk"])
 
 
-def match_or_allocate(rows: DataFrame, scope: list[str], key: list[str]) -> DataFrame:
+def match_or_allocate(rows: DataFrame, scope: list[str], key: list[str], allocate: Callable[..., DataFrame] = allocate_ids) -> DataFrame:
     """One entity per key, whoever holds it: ``[*scope, *key, gid, ent_src, ent_pk]``, one row per key."""
     first = rows.groupBy(*scope, *key).agg(F.min(F.struct("src", "pk")).alias("_e"))
     flat = first.select(*scope, *key, F.col("_e.src").alias("ent_src"), F.col("_e.pk").alias("ent_pk"))
-    return allocate_ids(flat, scope, ["ent_src", "ent_pk"])
+    return allocate(flat, scope, ["ent_src", "ent_pk"])
 
 
 def match_multi_key(rows: DataFrame, scope: list[str], place: str, media: str, full: str) -> DataFrame:

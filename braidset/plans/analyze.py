@@ -10,6 +10,7 @@ Id tables have ``[*scope, src, local_id, gid, kind, merged_into, conflict_id, re
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import cached_property, reduce
 
@@ -20,7 +21,7 @@ from braidset.functions import keys as K
 from braidset.functions.text import describe_location, is_blank, normalize_text
 from braidset.functions.timestamps import ts_key
 from braidset.operators import conflicts as C
-from braidset.operators.match import allocate_ids, match_by_key, match_multi_key, match_or_allocate, number_entities
+from braidset.operators.match import allocate_ids, keep_ids, match_by_key, match_multi_key, match_or_allocate, number_entities
 from braidset.operators.ordinals import ordinal_within
 from braidset.operators.positions import append_positions, fill_slots, rename_collisions
 from braidset.operators.remap import remap, remap_any
@@ -60,12 +61,14 @@ class Analysis:
 
     ``tables`` maps table names to DataFrames with ``[*scope, src, *registry columns]``;
     missing names mean empty tables. ``media_files`` has ``[*scope, src, path]`` and, for
-    writing, ``content``.
+    writing, ``content``. With ``tops`` (table to ``[*scope, _top]``) source 0 is part of an earlier result whose rows keep their
+    ids; new ids start above the tops.
     """
 
     def __init__(self, tables: dict[str, DataFrame], sources: DataFrame, scope: list[str] | None = None,
-                 media_files: DataFrame | None = None) -> None:
+                 media_files: DataFrame | None = None, tops: dict[str, DataFrame] | None = None) -> None:
         self.scope = list(scope or [])
+        self.tops = tops or {}
         self.spark = sources.sparkSession
         self.media_files = media_files
         self.sources = self._save(label_sources(sources, self.scope), "sources")
@@ -86,6 +89,9 @@ class Analysis:
     def _save(self, df: DataFrame, name: str) -> DataFrame:
         return materialize(df, name)
 
+    def _allocate(self, table: str) -> Callable[..., DataFrame]:
+        return keep_ids(self.tops[table]) if table in self.tops else allocate_ids
+
     def rows(self, table: str, pk: str | None = None) -> DataFrame:
         """Source rows of a table with their numeric key also as ``pk``."""
         return self.tables[table].withColumn("pk", F.col(pk or schema.primary_key(table)[0]))
@@ -133,7 +139,7 @@ class Analysis:
         rows = self.rows("Location").withColumns({
             "_t": K.location_place_key(), "_m": K.location_media_key(), "_f": K.location_full_key(),
         })
-        matched = self._save(number_entities(match_multi_key(rows, sc, "_t", "_m", "_f"), sc), "location-ids")
+        matched = self._save(number_entities(match_multi_key(rows, sc, "_t", "_m", "_f"), sc, self._allocate("Location")), "location-ids")
         created = (F.col("src") == F.col("ent_src")) & (F.col("pk") == F.col("ent_pk"))
         columns = [c for c in schema.columns("Location") if c != "LocationId"]
         order = F.struct("src", "pk")
@@ -162,7 +168,7 @@ class Analysis:
     def _mark_copies(self) -> DataFrame:
         """Every highlight row with its global id; ``loc`` is null for rows that are dropped."""
         rows = self.rows("UserMark")
-        ids = match_or_allocate(rows, self.scope, ["UserMarkGuid"]).select(*self.scope, "UserMarkGuid", "gid")
+        ids = match_or_allocate(rows, self.scope, ["UserMarkGuid"], self._allocate("UserMark")).select(*self.scope, "UserMarkGuid", "gid")
         mapped = remap(rows.join(ids, [*self.scope, "UserMarkGuid"]), self.scope, self.location.ids, "LocationId", "loc")
         return self._save(mapped, "mark-copies")
 
@@ -225,7 +231,7 @@ class Analysis:
     def media(self) -> Stage:
         sc = self.scope
         rows = self.rows("IndependentMedia")
-        matched = self._save(number_entities(match_by_key(rows, sc, "Hash"), sc), "media-ids")
+        matched = self._save(number_entities(match_by_key(rows, sc, "Hash"), sc, self._allocate("IndependentMedia")), "media-ids")
         created = (F.col("src") == F.col("ent_src")) & (F.col("pk") == F.col("ent_pk"))
         full = rows.join(matched, [*sc, "src", "pk"])
         named = self._save(
@@ -277,7 +283,7 @@ class Analysis:
         emitted = ranges.where("is_conflict OR is_winner").select(
             *sc, "src", "pk", "UserMarkId", "mark", "sig", "guid", "is_conflict", "BlockType", "Identifier", "StartToken", "EndToken", "n_copies",
         )
-        kept = self._save(allocate_ids(emitted, sc, ["mark", "src", "UserMarkId", "pk"]), "range-kept")
+        kept = self._save(self._allocate("BlockRange")(emitted, sc, ["mark", "src", "UserMarkId", "pk"]), "range-kept")
         conflict = F.when(F.col("is_conflict"), K.conflict_id("userMark", "guid"))
         kept_ids = self._ids(kept, F.lit(False), conflict)
         # Ranges of further agreeing copies pair with the winner's by (range, n-th occurrence).
@@ -310,7 +316,7 @@ class Analysis:
         slim = self.rows("Note").select(
             *sc, "src", "pk", "Guid", "UserMarkId", "LocationId", "LastModified", F.sha2(text, 256).alias("sig")
         )
-        ids = match_or_allocate(slim.select(*sc, "src", "pk", "Guid"), sc, ["Guid"]).select(*sc, "Guid", "gid")
+        ids = match_or_allocate(slim.select(*sc, "src", "pk", "Guid"), sc, ["Guid"], self._allocate("Note")).select(*sc, "Guid", "gid")
         copies = slim.join(ids, [*sc, "Guid"])
         copies = remap(copies, sc, self.user_mark.ids, "UserMarkId", "mark")
         copies = remap(copies, sc, self.location.ids, "LocationId", "loc")
@@ -346,7 +352,7 @@ class Analysis:
         rows = remap(self.rows("Bookmark"), sc, self.location.ids, "PublicationLocationId", "pub")
         rows = self._save(remap(rows, sc, self.location.ids, "LocationId", "loc"), "bookmark-copies")
         live = rows.where("pub IS NOT NULL AND loc IS NOT NULL").withColumn("target", K.bookmark_target_key("pub", "loc"))
-        matched = self._save(number_entities(match_by_key(live, sc, "target"), sc), "bookmark-ids")
+        matched = self._save(number_entities(match_by_key(live, sc, "target"), sc, self._allocate("Bookmark")), "bookmark-ids")
         created = (F.col("src") == F.col("ent_src")) & (F.col("pk") == F.col("ent_pk"))
         new = live.join(matched.where(created).select(*sc, "src", "pk", "gid"), [*sc, "src", "pk"])
         placed = self._save(fill_slots(new.drop("target"), [*sc, "pub"]), "bookmark-slots")
@@ -405,7 +411,7 @@ class Analysis:
     def _merge_by_name(self, table: str, key: list[str], name: str) -> Stage:
         sc = self.scope
         rows = self.rows(table)
-        entities = match_or_allocate(rows, sc, key)
+        entities = match_or_allocate(rows, sc, key, self._allocate(table))
         joined = self._save(rows.join(entities, [*sc, *key]), name)
         created = (F.col("src") == F.col("ent_src")) & (F.col("pk") == F.col("ent_pk"))
         pk = schema.primary_key(table)[0]
@@ -486,7 +492,7 @@ class Analysis:
     def playlist_item(self) -> Stage:
         sc = self.scope
         live = self._items.where("acc IS NOT NULL")
-        matched = self._save(number_entities(match_by_key(live, sc, "sig"), sc), "item-ids")
+        matched = self._save(number_entities(match_by_key(live, sc, "sig"), sc, self._allocate("PlaylistItem")), "item-ids")
         created = (F.col("src") == F.col("ent_src")) & (F.col("pk") == F.col("ent_pk"))
         new = live.join(matched.where(created).select(*sc, "src", "pk", "gid"), [*sc, "src", "pk"])
         replaced = {"PlaylistItemId": "gid", "Accuracy": "acc", "ThumbnailFilePath": "thumb_path"}
@@ -572,7 +578,7 @@ class Analysis:
         first = own.groupBy(*sc, "item", "StartTimeTicks").agg(
             F.min_by(F.struct("Label", "DurationTicks", "EndTransitionDurationTicks", "src", "pk"), F.col("pk")).alias("r")
         ).select(*sc, "item", "StartTimeTicks", "r.*")
-        kept = self._save(allocate_ids(first, sc, ["item", "pk"]), "marker-kept")
+        kept = self._save(self._allocate("PlaylistItemMarker")(first, sc, ["item", "pk"]), "marker-kept")
         replaced = {"PlaylistItemMarkerId": "gid", "PlaylistItemId": "item"}
         merged = kept.select(*sc, *[F.col(replaced.get(c, c)).alias(c) for c in schema.columns("PlaylistItemMarker")])
         starts = kept.select(*sc, "item", "StartTimeTicks", "gid", F.col("pk").alias("_kept"))
@@ -621,7 +627,7 @@ class Analysis:
             "first_contributor", (F.col("src") == F.col("_owner.src")) & (F.col("tag_rank") == F.col("_owner.tag_rank"))
         ).drop("_owner")
         placed = append_positions(self._save(new, "assignments-new"), [*sc, "tag"], order)
-        kept = self._save(allocate_ids(placed, sc, order), "assignments")
+        kept = self._save(self._allocate("TagMap")(placed, sc, order), "assignments")
         target = lambda kind: F.when(F.col("kind") == kind, F.col("ref"))
         merged = kept.select(
             *sc, F.col("gid").alias("TagMapId"), target("P").alias("PlaylistItemId"), target("L").alias("LocationId"),

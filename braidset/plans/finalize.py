@@ -89,6 +89,8 @@ def _fresh(analysis: Analysis, rows: DataFrame, table: str, order: list[str]) ->
         used.append(analysis.block_range.extra["children"].select(*sc, F.col(pk).alias("_id")))
     else:
         used.append(analysis.stage(table).extra["candidates"].select(*sc, F.col(pk).alias("_id")))
+    if table in analysis.tops:
+        used.append(analysis.tops[table].withColumnRenamed("_top", "_id"))
     top = reduce(DataFrame.unionByName, used).groupBy(*sc).agg(F.max("_id").alias("_top"))
     numbered = ordinal_within(rows, sc, order, "_k")
     if sc:
