@@ -516,9 +516,9 @@ def _samples() -> str:
             rows = body.replace("{on:p}", "").replace("{on:q}", "").format(t="f_", k="", ku="", onru="", files="(SELECT FilePath AS path FROM md_held)")
             parts.append(f"SELECT '{code}' AS code, row_number() OVER (ORDER BY {order}) - 1 AS nth, {text} AS sample {rows}")
     for code, partition, more in (("C4", "LocationId, rs, style", "true"), ("C5", "LocationId, rs", "styles > 1")):
-        parts.append(f"""SELECT '{code}', row_number() OVER (ORDER BY lead, o, n) - 1, {_at('c.LocationId')} || ' (highlights #' || ids || ')' FROM (
-          SELECT LocationId, unnest(range(2, c + 1)) AS n, ids, lead, o FROM (SELECT LocationId, count(*) AS c, min(lead) AS lead, min(UserMarkId) AS o,
-            count(DISTINCT style) AS styles, string_agg(CAST(UserMarkId AS VARCHAR), ', #' ORDER BY UserMarkId) AS ids
+        parts.append(f"""SELECT '{code}', row_number() OVER (ORDER BY lead, o, n) - 1, {_at('c.LocationId')} || ' (highlights #' || ids || CASE WHEN c.size > 16 THEN ' and ' || (c.size - 16) || ' more' ELSE '' END || ')' FROM (
+          SELECT LocationId, unnest(range(2, c + 1)) AS n, c AS size, ids, lead, o FROM (SELECT LocationId, count(*) AS c, min(lead) AS lead, min(UserMarkId) AS o,
+            count(DISTINCT style) AS styles, array_to_string(list_transform(list(UserMarkId ORDER BY UserMarkId)[1:16], lambda i: CAST(i AS VARCHAR)), ', #') AS ids
             FROM (SELECT *, min(UserMarkId) OVER (PARTITION BY LocationId, rs) AS lead FROM {_STYLED}) GROUP BY {partition}) WHERE c > 1 AND {more}) c""")
     parts.append("""SELECT 'C3', row_number() OVER (ORDER BY o, n) - 1, 'highlight #' || UserMarkId FROM (SELECT UserMarkId, o, unnest(range(0, c)) AS n FROM (
         SELECT UserMarkId, CAST(sum(k - 1) AS BIGINT) AS c, min(o) AS o FROM (SELECT UserMarkId, count(*) AS k, min(BlockRangeId) AS o FROM f_BlockRange
@@ -830,6 +830,10 @@ _FINAL = {
     "late_notes": _LATE_NOTES,
     "late_counts": "SELECT \"table\", n FROM final_n WHERE \"table\" IN ('Location', 'UserMark', 'Note', 'Tag', 'IndependentMedia', 'InputField', 'Bookmark')",
     "health_damaged": " UNION ALL ".join(_health_sql(c[0], False, "d_") for c in CHECKS),
+    "health_members": f"""WITH styled AS (SELECT u.*, rs, ColorIndex * 1000 + StyleIndex AS look FROM d_UserMark u JOIN {_RS.format(k='src, ', t='d_')} r ON r.src = u.src AND r.UserMarkId = u.UserMarkId),
+        wide AS (SELECT *, min(look) OVER w <> max(look) OVER w AS unlike, count(*) OVER s > 1 AS equal, row_number() OVER (w ORDER BY UserMarkId) AS n5, row_number() OVER (s ORDER BY UserMarkId) AS n4,
+          min(UserMarkId) OVER w AS lead5, min(UserMarkId) OVER s AS lead4 FROM styled WINDOW w AS (PARTITION BY src, LocationId, rs), s AS (PARTITION BY src, LocationId, rs, look))
+        SELECT src, 'C4' AS code, lead4 AS first_id, n4 AS nth, UserMarkId FROM wide WHERE equal UNION ALL SELECT src, 'C5', lead5, n5, UserMarkId FROM wide WHERE unlike""",
     "row_rules_damaged": " UNION ALL ".join(
         f"SELECT src, '{t}' AS \"table\", '{rule}' AS rule, count(*) AS violations FROM d_{t} WHERE {broken} GROUP BY src" for t, rules in BROKEN_ROWS.items() for rule, broken in rules),
     "unique_damaged": " UNION ALL ".join(

@@ -89,6 +89,14 @@ def _health_damaged(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("src", "code", F.col("count").cast("bigint").alias("count"))
 
 
+def _health_members(spark: SparkSession, sf: str) -> DataFrame:
+    """Every highlight of the groups of equal ones, and of those unlike in look, with the first of its group."""
+    t = _damaged(spark, sf)
+    rows = fin.materialize(health.Health(t, ["src"]).members(), "members")
+    first = rows.where("nth = 1").select("src", "code", "group", F.col("UserMarkId").alias("first_id"))
+    return rows.join(first, ["src", "code", "group"]).select("src", "code", "first_id", F.col("nth").cast("bigint").alias("nth"), "UserMarkId")
+
+
 def _broken(check: Callable) -> Callable:
     return lambda spark, sf: check(_damaged(spark, sf), ["src"]).where("violations > 0")
 
@@ -578,6 +586,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "roundtrip": _roundtrip,
     "roundtrip_changed": _roundtrip_changed,
     "health_damaged": _health_damaged,
+    "health_members": _health_members,
     "row_rules_damaged": _broken(validate.constraint_violations),
     "unique_damaged": _broken(validate.unique_violations),
     "references_damaged": _broken(validate.fk_violations),

@@ -7,13 +7,19 @@ created it (``ent_src``, ``ent_pk``); dense global ids follow the order of creat
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from functools import reduce
 
+import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from braidset.operators.components import components
 from braidset.operators.ordinals import ordinal_within
 from braidset.session import materialize
 
+#: Rows of a component that one task streams through; its keys are held in memory.
+STREAMED = 200_000
+
 
 def allocate_ids(entities: DataFrame, scope: list[str], order: list[str], out: str = "gid") -> DataFrame:
     """Dense ids from 1 per scope in the given order."""
@@ -65,21 +71,24 @@ def match_or_allocate(rows: DataFrame, scope: list[str], key: list[str], allocat
     return allocate(flat, scope, ["ent_src", "ent_pk"])
 
 
-def match_multi_key(rows: DataFrame, scope: list[str], place: str, media: str, full: str) -> DataFrame:
+def match_multi_key(rows: DataFrame, scope: list[str], place: str, media: str, full: str, streamed: int = STREAMED) -> DataFrame:
     """Match on several identity keys, tried in order, all keys of a row naming its entity.
 
     ``place`` and ``media`` are constraint keys: not repeated inside a source, null when
     not live, and functions of the columns in ``full``. Rows whose constraint keys each
-    meet only one full key need nothing but the occurrence match on ``full``; the others
-    are matched one source after the other against the keys seen so far.
+    meet only one full key need nothing but the occurrence match on ``full``. The others fall into components of
+    rows that share keys; components do not depend on one another. Up to ``streamed`` rows, a component is matched in one task
+    that streams it in order and holds its keys; a larger one takes a distributed round for each of its sources.
     """
     slim = rows.select(*scope, "src", "pk", F.col(place).alias("_t"), F.col(media).alias("_m"), F.col(full).alias("_f"))
-    tangled_full = _tangled(slim, scope)
-    if tangled_full.isEmpty():
-        return match_by_key(slim, scope, "_f")
-    plain = slim.join(tangled_full, [*scope, "_f"], "left_anti")
-    tangled = materialize(slim.join(tangled_full, [*scope, "_f"], "left_semi"), "tangled")
-    return match_by_key(plain, scope, "_f").unionByName(_match_source_by_source(tangled, scope))
+    crossing = _tangled(slim, scope)
+    plain = slim.join(crossing, [*scope, "_f"], "left_anti")
+    tangled = materialize(slim.join(crossing, [*scope, "_f"], "left_semi").withColumn("_row", F.monotonically_increasing_id()), "tangled")
+    labelled = _labelled(tangled, scope)
+    sizes = labelled.groupBy("_component").agg((F.count("*") <= streamed).alias("_small"))
+    labelled = materialize(labelled.join(sizes, "_component"), "tangled-components")
+    small, large = labelled.where("_small"), labelled.where("NOT _small")
+    return match_by_key(plain, scope, "_f").unionByName(_match_streamed(small, scope)).unionByName(_match_in_rounds(large, scope))
 
 
 def _tangled(slim: DataFrame, scope: list[str]) -> DataFrame:
@@ -93,43 +102,75 @@ def _tangled(slim: DataFrame, scope: list[str]) -> DataFrame:
     return both.distinct()
 
 
-def _match_source_by_source(rows: DataFrame, scope: list[str]) -> DataFrame:
-    """Exact ordered matching; one distributed round per source ordinal.
-
-    Constraint keys do not repeat inside a source and tangled rows all have one, so the
-    rows of one source cannot compete and each takes the oldest entity listed under its
-    first key that is known.
+def _keyed(rows: DataFrame, *more: str) -> DataFrame:
+    """A row for each live key, with the rank in which it is tried."""
+    keys = F.array(*[F.struct(F.lit(i + 1).alias("rank"), F.col(c).alias("key")) for i, c in enumerate(("_t", "_m", "_f"))])
+    return rows.select(*more, F.explode(keys).alias("k")).select(*more, "k.rank", "k.key").where("key IS NOT NULL")
+
+
+def _labelled(tangled: DataFrame, scope: list[str]) -> DataFrame:
+    """``tangled`` with ``_component``: rows that share a key, directly or over others."""
+    keyed = _keyed(tangled, *scope, "_row")
+    stars = keyed.join(keyed.groupBy(*scope, "rank", "key").agg(F.min("_row").alias("_first")), [*scope, "rank", "key"])
+    roots = components(stars.select("_row", "_first"), "_row", "_first").select(F.col("node").alias("_row"), F.col("root").alias("_component"))
+    return tangled.join(roots, "_row", "left").withColumn("_component", F.coalesce("_component", "_row"))
+
+
+def _match_streamed(rows: DataFrame, scope: list[str]) -> DataFrame:
+    """Ordered matching of whole components, each in the task its rows stream through."""
+    kind = lambda c: rows.schema[c].dataType.simpleString()
+    out = ", ".join([*(f"{c} {kind(c)}" for c in [*scope, "src", "pk"]), f"ent_src {kind('src')}", f"ent_pk {kind('pk')}"])
+    slim = rows.select("_component", "src", "pk", "_t", "_m", "_f", *scope)
+    ordered = slim.repartition("_component").sortWithinPartitions("_component", "src", "pk")
+    return ordered.mapInPandas(lambda batches: _stream(batches, scope), out)
+
+
+def _stream(batches: Iterator[pd.DataFrame], scope: list[str]) -> Iterator[pd.DataFrame]:
+    """Each row takes the entity first listed under its first known key, of the sources before its own, and lists all its keys."""
+    component = source = None
+    known: dict[tuple, tuple] = {}
+    waiting: list[tuple] = []
+    for batch in batches:
+        entities = []
+        for row in zip(batch["_component"], batch["src"], batch["pk"], batch["_t"], batch["_m"], batch["_f"]):
+            if row[0] != component:
+                component, source, known, waiting = row[0], row[1], {}, []
+            elif row[1] != source:
+                for key, entity in waiting:
+                    known.setdefault(key, entity)
+                source, waiting = row[1], []
+            keys = [(i, k) for i, k in enumerate(row[3:]) if isinstance(k, str)]
+            entity = next((known[k] for k in keys if k in known), (row[1], row[2]))
+            waiting += [(k, entity) for k in keys]
+            entities.append(entity)
+        found = batch[[*scope, "src", "pk"]].copy()
+        found["ent_src"], found["ent_pk"] = [e[0] for e in entities], [e[1] for e in entities]
+        yield found
+
+
+def _match_in_rounds(rows: DataFrame, scope: list[str]) -> DataFrame:
+    """Ordered matching with one distributed round for each place of a source in its component.
+
+    Constraint keys do not repeat inside a source and tangled rows all have one, so the rows of one source cannot compete and each
+    takes the oldest entity listed under its first key that is known. A round adds its keys to the index as a table of its own.
     """
-    last = rows.agg(F.max("src")).first()[0]
-    index = result = None
-    for src in range(last + 1):
-        mine = rows.where(F.col("src") == src)
-        keyed = mine.select(
-            *scope, "src", "pk",
-            F.explode(F.array(
-                F.struct(F.lit(1).alias("rank"), F.col("_t").alias("key")),
-                F.struct(F.lit(2).alias("rank"), F.col("_m").alias("key")),
-                F.struct(F.lit(3).alias("rank"), F.col("_f").alias("key")),
-            )).alias("k"),
-        ).select(*scope, "src", "pk", "k.rank", "k.key").where("key IS NOT NULL")
-        if index is None:
-            found = keyed.select(*scope, "src", "pk", F.col("src").alias("ent_src"), F.col("pk").alias("ent_pk")).distinct()
+    none = rows.select(*scope, "src", "pk", F.col("src").alias("ent_src"), F.col("pk").alias("ent_pk")).limit(0)
+    if rows.isEmpty():
+        return none
+    places = ordinal_within(rows.select("_component", "src").distinct(), ["_component"], ["src"], "_round")
+    rows = materialize(rows.join(places, ["_component", "src"]), "tangled-rounds")
+    found, index = [], []
+    for turn in range(1, rows.agg(F.max("_round")).first()[0] + 1):
+        keyed = _keyed(rows.where(F.col("_round") == turn), "_component", *scope, "src", "pk")
+        if index:
+            listed = reduce(DataFrame.unionByName, index).groupBy("_component", "rank", "key").agg(F.min(F.struct("_round", "src", "pk", "ent_src", "ent_pk")).alias("e"))
+            keyed = keyed.join(listed, ["_component", "rank", "key"], "left")
+            hit = keyed.groupBy("_component", *scope, "src", "pk").agg(F.min_by("e", F.when(F.col("e").isNotNull(), F.col("rank"))).alias("e"))
+            entity = [F.coalesce("e.ent_src", "src").alias("ent_src"), F.coalesce("e.ent_pk", "pk").alias("ent_pk")]
         else:
-            oldest = index.groupBy(*scope, "key").agg(F.min_by(F.struct("ent_src", "ent_pk"), "added").alias("e"))
-            hit = keyed.join(oldest, [*scope, "key"], "left")
-            found = hit.groupBy(*scope, "src", "pk").agg(
-                F.min_by("e", F.when(F.col("e").isNotNull(), F.col("rank"))).alias("e")
-            ).select(
-                *scope, "src", "pk",
-                F.coalesce("e.ent_src", "src").alias("ent_src"), F.coalesce("e.ent_pk", "pk").alias("ent_pk"),
-            )
-        found = materialize(found, f"tangled-src{src}")
-        listed = keyed.join(found, [*scope, "src", "pk"]).select(
-            *scope, "key", "ent_src", "ent_pk", F.struct("src", "pk").alias("added")
-        )
-        merged = listed if index is None else index.unionByName(listed)
-        index = materialize(
-            merged.groupBy(*scope, "key", "ent_src", "ent_pk").agg(F.min("added").alias("added")), f"tangled-keys{src}"
-        )
-        result = found if result is None else result.unionByName(found)
-    return result
+            hit, entity = keyed.select("_component", *scope, "src", "pk").distinct(), [F.col("src").alias("ent_src"), F.col("pk").alias("ent_pk")]
+        hit = materialize(hit.select("_component", *scope, "src", "pk", *entity), "tangled-round")
+        found.append(hit.select(*none.columns))
+        own = _keyed(rows.where(F.col("_round") == turn), "_component", "_round", *scope, "src", "pk")
+        index.append(materialize(own.join(hit, ["_component", *scope, "src", "pk"]).select("_component", "rank", "key", "_round", "src", "pk", "ent_src", "ent_pk"), "tangled-keys"))
+    return reduce(DataFrame.unionByName, found)

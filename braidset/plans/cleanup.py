@@ -92,9 +92,25 @@ def remove_rangeless_marks(t: dict, scope: list[str]) -> tuple[dict, dict]:
 
 
 def duplicate_groups(t: dict, scope: list[str]) -> DataFrame:
-    """Highlights that have ranges, with the fingerprint of their ranges."""
-    prints = t["BlockRange"].groupBy(*scope, "UserMarkId").agg(K.multiset_key(K.range_key()).alias("ranges"))
-    return t["UserMark"].join(prints, [*scope, "UserMarkId"])
+    """Highlights that have ranges, with ``ranges``: equal for those of one place that hold the same ranges equally often.
+
+    Ranges are first compared by their fingerprint. Where highlights of one place share it, their ranges are counted one by one; a
+    group that only met by chance is told apart by the ranges themselves.
+    """
+    key = [*scope, "UserMarkId"]
+    ranges = t["BlockRange"].select(*key, K.range_key().alias("_sig"))
+    prints = ranges.groupBy(*key).agg(K.multiset_key(F.col("_sig")).alias("ranges"))
+    marks = materialize(t["UserMark"].join(prints, key), "mark-prints")
+    group = [*scope, "LocationId", "ranges"]
+    sizes = marks.groupBy(*group).agg(F.count("*").alias("_marks")).where("_marks > 1")
+    shared = marks.select(*key, "LocationId", "ranges").join(sizes, group)
+    per_mark = ranges.join(shared, key).groupBy(*group, "_marks", "_sig", *[c for c in key if c not in scope]).agg(F.count("*").alias("_c"))
+    per_range = per_mark.groupBy(*group, "_marks", "_sig").agg(F.count("*").alias("_held"), F.min("_c").alias("_lo"), F.max("_c").alias("_hi"))
+    unlike = per_range.where("_held <> _marks OR _lo <> _hi").select(*group).distinct()
+    mixed = materialize(shared.join(unlike, group, "left_semi").select(*key), "unlike-marks")
+    own = ranges.join(mixed, key).groupBy(*key).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("_sig")), "\n"), 256).alias("_exact"))
+    told = marks.join(own, key, "left").withColumn("ranges", F.concat_ws("/", "ranges", "_exact"))
+    return told.drop("_exact")
 
 
 def merge_duplicate_marks(t: dict, scope: list[str]) -> tuple[dict, dict]:

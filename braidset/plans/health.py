@@ -15,12 +15,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from braidset import schema
 from braidset.functions import keys as K
 from braidset.functions.text import describe_location, is_empty_note, target_count
-from braidset.operators.ordinals import top_rows
+from braidset.operators.ordinals import ordinal_within, top_rows
 from braidset.operators.remap import unreferenced
 from braidset.plans.cleanup import duplicate_groups, location_references
 from braidset.session import materialize
 
 SAMPLES = 8
+#: Highlights of a group that its sample text names.
+LISTED = 16
 
 # Code, category, clean-up that removes the rows, informational only.
 CHECKS = (
@@ -290,16 +292,24 @@ class Health:
         listed = few.groupBy(*self.keys, "code").agg(F.array_sort(F.collect_list(F.struct("_rank", text.alias("t")))).alias("_l"))
         return listed.select(*self.keys, "code", F.transform("_l", lambda x: x["t"]).alias("samples"))
 
+    def members(self) -> DataFrame:
+        """Highlights of every group that C4 or C5 found: ``[*keys, code, group, nth, UserMarkId]``, numbered from 1 by id in a group."""
+        styled = materialize(self._styled().select(*self.keys, "_pair", "_style", "UserMarkId"), "styled-marks")
+        parts = []
+        for code, found, group in (("C4", self.c4(), K.key_of("_pair", "_style")), ("C5", self.c5(), F.col("_pair"))):
+            listed = styled.select(*self.keys, F.lit(code).alias("code"), group.alias("group"), "UserMarkId")
+            parts.append(listed.join(found.select(*self.keys, "group"), [*self.keys, "group"], "left_semi"))
+        return ordinal_within(parts[0].unionByName(parts[1]), [*self.keys, "code", "group"], ["UserMarkId"], "nth")
+
     def _list_marks(self, few: DataFrame) -> DataFrame:
-        """Ids of all highlights in the sampled groups, which are a few for each check."""
+        """Ids of the first highlights of the sampled groups, and how many more there are (all of them are in ``members``)."""
         groups = few.where("group IS NOT NULL").select(*self.keys, "code", "group").distinct()
-        styled = self._styled()
-        members = styled.select(*self.keys, F.lit("C4").alias("code"), K.key_of("_pair", "_style").alias("group"), "UserMarkId").unionByName(
-            styled.select(*self.keys, F.lit("C5").alias("code"), F.col("_pair").alias("group"), "UserMarkId")
-        ).join(groups, [*self.keys, "code", "group"], "left_semi")
-        listed = members.groupBy(*self.keys, "code", "group").agg(F.array_sort(F.collect_list("UserMarkId")).alias("_ids"))
-        names = F.transform("_ids", lambda i: F.concat(F.lit("#"), i.cast("string")))
-        listed = listed.withColumn("_marks", F.concat(F.lit(" (highlights "), F.array_join(names, ", "), F.lit(")"))).drop("_ids")
+        members = self.members().join(groups, [*self.keys, "code", "group"], "left_semi")
+        first = F.when(F.col("nth") <= LISTED, F.struct("nth", "UserMarkId"))
+        listed = members.groupBy(*self.keys, "code", "group").agg(F.array_sort(F.collect_list(first)).alias("_ids"), F.count("*").alias("_n"))
+        names = F.transform("_ids", lambda i: F.concat(F.lit("#"), i["UserMarkId"].cast("string")))
+        more = F.when(F.col("_n") > LISTED, F.concat(F.lit(" and "), (F.col("_n") - LISTED).cast("string"), F.lit(" more"))).otherwise("")
+        listed = listed.withColumn("_marks", F.concat(F.lit(" (highlights "), F.array_join(names, ", "), more, F.lit(")"))).drop("_ids", "_n")
         return few.join(listed, [*self.keys, "code", "group"], "left").withColumn("_marks", F.coalesce("_marks", F.lit("")))
 
     def report(self, keys_df: DataFrame | None = None, with_samples: bool = True) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from braidset.operators.conflicts import suggest_winner, update_resolutions
@@ -86,6 +87,51 @@ def test_multi_key_match(spark):
     assert {(r["src"], r["pk"]): r["gid"] for r in got} == expected
 
 
+def walked(rows):
+    """The multi-key rule row by row: entity (src, pk) of every row."""
+    known, out = {}, {}
+    for src in sorted({r[0] for r in rows}):
+        mine = [r for r in sorted(rows, key=lambda r: r[:2]) if r[0] == src]
+        for r in mine:
+            out[r[:2]] = next((known[k] for k in r[2:] if k in known), r[:2])
+        for r in mine:
+            for k in r[2:]:
+                if k is not None:
+                    known.setdefault(k, out[r[:2]])
+    return out
+
+
+@pytest.mark.parametrize("streamed", [200_000, 12, 0])
+def test_many_sources_in_one_component(spark, streamed):
+    """Forty sources whose rows are tied by keys in turn, beside small components; streamed, in rounds, and some of each."""
+    rng = random.Random(8)
+    rows = []
+    for src in range(40):
+        rows.append((src, 1, f"t{src // 2}", f"m{(src + 1) // 2}", f"f{src}"))
+        if src % 3 == 0:
+            k = rng.randrange(5)
+            rows.append((src, 2, f"s{k}", f"r{rng.randrange(3)}-{src % 2}", f"g{src}"))
+        rows.append((src, 3, None, None, f"plain{rng.randrange(4)}"))
+    want = walked([r for r in rows if r[1] != 3])
+    df = spark.createDataFrame([("a", *r) for r in rows], "owner string, src int, pk bigint, t string, m string, f string")
+    got = {(r["src"], r["pk"]): (r["ent_src"], r["ent_pk"]) for r in match_multi_key(df, ["owner"], "t", "m", "f", streamed).where("pk < 3").collect()}
+    assert got == want and len(set(want.values())) > 2
+
+
+def test_jobs_do_not_grow_with_sources(spark):
+    def jobs(sources):
+        rows = [(src, pk, f"t{pk}-{src // 2}", f"m{pk}-{(src + 1) // 2}", f"f{pk}-{src}") for src in range(sources) for pk in range(3)]
+        df = spark.createDataFrame(rows, "src int, pk bigint, t string, m string, f string")
+        spark.sparkContext.setJobGroup(f"sources{sources}", "count the jobs")
+        match_multi_key(df, [], "t", "m", "f").collect()
+        found = len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"sources{sources}"))
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        return found
+
+    few, many = jobs(4), jobs(32)
+    assert many < 3 * few  # with eight times the sources; rounds of contraction follow the logarithm of a chain's length
+
+
 def place_all(rows):
     used, out = {}, {}
     for src, pk, pub, slot in sorted(rows):
