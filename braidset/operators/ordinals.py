@@ -1,8 +1,8 @@
 """Dense numbering that never sorts a whole group, or the whole table, in one task.
 
-Rows are range-partitioned by the order columns, so a hot group is spread over as
-many partitions as its size needs. A row's number is its place in its partition plus
-the size of the partitions before; only one count per partition is gathered.
+A group of bounded size is numbered by a window. For larger ones, and for whole tables, rows are range-partitioned by
+the order columns, so a hot group is spread over as many partitions as its size needs; a row's number is its place in its
+partition plus the size of the partitions before, and only one count per partition is gathered.
 """
 
 from __future__ import annotations
@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from braidset.session import materialize
 
+#: Rows of a group that one task sorts.
+SORTED = 100_000
 _PART_BITS = 33  # monotonically_increasing_id keeps the partition above this bit
 
 
@@ -44,6 +46,19 @@ def ordinal_within(df: DataFrame, group: list[str], order: list[str], out: str,
     """1, 2, 3, ... inside each group; ``group`` columns must not be null."""
     if not group:
         return global_ordinal(df, order, out, keep_part)
+    if keep_part:
+        return _ranged_within(df, group, order, out, True)
+    # Groups that one task can sort are numbered where they are grouped; only the others are ranged over partitions.
+    sizes = df.groupBy(*group).agg(F.count("*").alias("_ord_n")).where(F.col("_ord_n") > SORTED)
+    crowded = materialize(sizes.select(*group), "crowded-groups")
+    place = F.row_number().over(Window.partitionBy(*group).orderBy(*order)).cast("bigint")
+    if crowded.isEmpty():
+        return df.withColumn(out, place)
+    spread = _ranged_within(df.join(crowded, group, "left_semi"), group, order, out, False)
+    return df.join(crowded, group, "left_anti").withColumn(out, place).unionByName(spread)
+
+
+def _ranged_within(df: DataFrame, group: list[str], order: list[str], out: str, keep_part: bool) -> DataFrame:
     numbered = global_ordinal(df, [*group, *[c for c in order if c not in group]], "_ord_number", True)
     firsts = numbered.groupBy(*group).agg(F.min("_ord_number").alias("_ord_first"))
     ranked = numbered.join(firsts, group).withColumn(out, F.col("_ord_number") - F.col("_ord_first") + 1)

@@ -154,25 +154,27 @@ def check_traceability(tables: dict[str, DataFrame], lineage: DataFrame, result:
 
     Returns ``[*scope, table, untraced, missing, leaked, dropped]``; the first three must be zero.
     """
-    head = [*scope, "table"]
-    rows = reduce(DataFrame.unionByName, [
-        tables[t].select(*scope, "src", F.lit(t).alias("table"), K.local_key(t).alias("local_key")) for t in schema.TABLES
-    ])
-    untraced = rows.join(lineage, [*scope, "src", "table", "local_key"], "left_anti").groupBy(*head).agg(F.count("*").alias("untraced"))
-    present = reduce(DataFrame.unionByName, [
-        result[t].select(*scope, F.lit(t).alias("table"), K.local_key(t).alias("global_key"), F.lit(True).alias("_in")) for t in schema.TABLES
-    ])
-    wins = decisions.select(*scope, "conflict_id", "winner_src")
-    fate = lineage.join(present, [*head, "global_key"], "left").join(wins, [*scope, "conflict_id"], "left")
-    there = F.coalesce("_in", F.lit(False))
-    ranges = (F.col("table") == "BlockRange") & (F.col("kind") == "conflict")
-    lost = ranges & (F.col("winner_src") != F.col("src"))
-    tally = fate.groupBy(*head).agg(
-        F.count(F.when((F.col("kind") != "dropped") & ~lost & ~there, 1)).alias("missing"),
-        F.count(F.when(lost & there, 1)).alias("leaked"),
-        F.count(F.when(F.col("kind") == "dropped", 1)).alias("dropped"),
-    )
-    return tally.join(untraced, head, "full_outer").fillna(0, ["untraced", "missing", "leaked", "dropped"])
+    # Table by table, so that keys meet only those of their own table; constant table names prune the lineage to one branch.
+    parts = []
+    for t in schema.TABLES:
+        own = lineage.where(F.col("table") == t).select(*scope, "src", "local_key", "kind", "global_key", "conflict_id")
+        rows = tables[t].select(*scope, "src", K.local_key(t).alias("local_key"))
+        untraced = rows.join(own.select(*scope, "src", "local_key"), [*scope, "src", "local_key"], "left_anti")
+        there = result[t].select(*scope, K.local_key(t).alias("global_key"), F.lit(True).alias("_in"))
+        fate = own.join(there, [*scope, "global_key"], "left").withColumn("_there", F.coalesce("_in", F.lit(False)))
+        if t == "BlockRange":  # only here a losing copy's rows must not be in the result
+            fate = fate.join(decisions.select(*scope, "conflict_id", "winner_src"), [*scope, "conflict_id"], "left")
+            fate = fate.withColumn("_lost", (F.col("kind") == "conflict") & F.coalesce(F.col("winner_src") != F.col("src"), F.lit(False)))
+        else:
+            fate = fate.withColumn("_lost", F.lit(False))
+        none = F.lit(0).cast("bigint")
+        one = lambda condition: F.when(condition, 1).otherwise(0).cast("bigint")
+        parts.append(untraced.select(*scope, F.lit(t).alias("table"), F.lit(1).cast("bigint").alias("untraced"), none.alias("missing"), none.alias("leaked"), none.alias("dropped")))
+        parts.append(fate.select(
+            *scope, F.lit(t).alias("table"), none.alias("untraced"), one((F.col("kind") != "dropped") & ~F.col("_lost") & ~F.col("_there")).alias("missing"),
+            one(F.col("_lost") & F.col("_there")).alias("leaked"), one(F.col("kind") == "dropped").alias("dropped")))
+    counted = reduce(DataFrame.unionByName, parts).groupBy(*scope, "table")
+    return counted.agg(*[F.sum(c).alias(c) for c in ("untraced", "missing", "leaked", "dropped")])
 
 
 def content_digest(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
