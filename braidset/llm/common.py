@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import gc
-import time
-from collections.abc import Iterator
-from functools import reduce
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from braidset.operators.components import components  # noqa: F401  (used by the operators of this package)
 from braidset.session import materialize
 
 
@@ -18,16 +17,21 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def release_shuffles(spark: SparkSession) -> None:
-    """Let go of the shuffle files of finished jobs, which a stage table has replaced.
+def tidied(work: Callable[..., Iterator[pa.RecordBatch]]) -> Callable[..., Iterator[pa.RecordBatch]]:
+    """``work`` for ``mapInArrow``, after which the Python worker gives its freed memory back to the system.
 
-    Spark deletes them when the driver collects its garbage, and an idle driver puts that off while disks fill up. The
-    events of the last job still hold its plan for a moment, so the driver is asked twice.
+    Workers stay alive between tasks, and what the allocators keep would count beside the next stage's memory.
     """
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(1.5)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from work(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # the GNU C library has it
+            if trim is not None:
+                trim(0)
+
+    return run
 
 
 def held_out(doc_id: Column) -> Column:
@@ -56,38 +60,6 @@ def running_sum(df: DataFrame, group: list[str], order: list[str], value: str, o
     )
 
 
-def components(edges: DataFrame, a: str, b: str) -> DataFrame:
-    """Connected components of an undirected graph as (node, root) for every node with an edge.
-
-    Contraction: every node hooks onto the neighbour of least priority (a hash of
-    the node, so that long paths shrink by a constant share each round), edges are renamed
-    and made distinct, and the rounds' small maps are then composed from the last to the
-    first. All state lives in tables of the shared folder. ``root`` is some node of the
-    component, the same one for all its nodes. Null ends and self-links are left out.
-    """
-    rank = lambda c: F.struct(F.xxhash64(c).alias("h"), F.col(c).alias("n"))
-    pairs = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v")
-    live = materialize(pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "edges")
-    maps: list[DataFrame] = []
-    while not live.isEmpty():
-        hooks = live.groupBy("u").agg(F.min(rank("v")).alias("least"))
-        to = F.when(F.col("least") < rank("u"), F.col("least.n")).otherwise(F.col("u"))
-        hooks = materialize(hooks.select(F.col("u").alias("node"), to.alias("root")), "hooks")
-        maps.append(hooks)
-        left = hooks.select(F.col("node").alias("u"), F.col("root").alias("ru"))
-        right = hooks.select(F.col("node").alias("v"), F.col("root").alias("rv"))
-        renamed = live.join(left, "u").select("ru", "v").distinct().join(right, "v").select(F.col("ru").alias("u"), F.col("rv").alias("v"))
-        live = materialize(renamed.where("u <> v").distinct(), "edges")
-    if not maps:
-        return live.select(F.col("u").alias("node"), F.col("v").alias("root"))
-
-    def compose(final: DataFrame, earlier: DataFrame) -> DataFrame:
-        onward = final.select(F.col("node").alias("root"), F.col("root").alias("last"))
-        return earlier.join(onward, "root", "left").select("node", F.coalesce("last", "root").alias("root"))
-
-    return materialize(reduce(compose, reversed(maps)), "components")
-
-
 def whole_groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
     """Columns and group starts of a partition sorted by its first ``keys`` (long) columns, no group cut in two.
 

@@ -25,6 +25,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from braidset.llm.common import tidied
 from braidset.session import discard, materialize
 
 WINDOW = 20
@@ -242,26 +243,27 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("mark"),
                        F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"))
     placed = slim.where("doc_id IS NOT NULL")
-    stretches = materialize(placed.mapInArrow(_stretches, "name long, digest long, doc_id long, mark long, place long"), "word-stretches")
+    stretches = materialize(placed.mapInArrow(tidied(_stretches), "name long, digest long, doc_id long, mark long, place long"), "word-stretches")
     names = stretches.groupBy("name").agg(
         F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.min("digest").alias("least"), F.max("digest").alias("most"))
-    names = names.where("lo < hi").select("name", "lo", (F.col("least") == F.col("most")).alias("alike"))
+    # Tables of their own, so that a hot name or window is split where it is joined.
+    names = materialize(names.where("lo < hi").select("name", "lo", (F.col("least") == F.col("most")).alias("alike")), "shared-names")
     shared = materialize(stretches.join(names, "name").where("NOT alike OR doc_id > lo").select("doc_id", "mark", "place", "alike"), "shared-stretches")
-    discard(stretches)
+    discard(stretches, names)
 
     lists = shared.where("NOT alike").groupBy("doc_id", "mark").agg(F.collect_set("place").alias("places"))
     listed = placed.join(lists, ["doc_id", "mark"]).select("doc_id", "mark", "text", "places")
-    windows = materialize(listed.mapInArrow(_windows, "name long, hash long, doc_id long, mark long, place long"), "windows")
-    firsts = windows.groupBy("name", "hash").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").drop("hi")
+    windows = materialize(listed.mapInArrow(tidied(_windows), "name long, hash long, doc_id long, mark long, place long"), "windows")
+    firsts = materialize(windows.groupBy("name", "hash").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").drop("hi"), "first-windows")
     late = windows.join(firsts, ["name", "hash"]).where("doc_id > lo").select("doc_id", "mark", "place")
     late = late.unionByName(shared.where("alike").select("doc_id", "mark", "place"))
     found = materialize(late.groupBy("doc_id", "mark").agg(F.collect_set("place").alias("places")), "late-windows")
-    discard(shared, windows)
+    discard(shared, windows, firsts)
 
     span = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
     kind = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("spans", span), T.StructField("kept", T.BinaryType())])
     schema = to_arrow_schema(kind)
-    return slim.join(found, ["doc_id", "mark"], "left").select("doc_id", "text", "places").mapInArrow(lambda batches: _cut(batches, schema), kind)
+    return slim.join(found, ["doc_id", "mark"], "left").select("doc_id", "text", "places").mapInArrow(tidied(lambda batches: _cut(batches, schema)), kind)
 
 
 #: Windows as strings of their words, on whole tables; ids of rows are unique there.
