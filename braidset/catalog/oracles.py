@@ -823,6 +823,10 @@ _FINAL = {
     "unique_violations": _UNIQUE,
     "reconcile_counts": """SELECT "table", max_source, max_carried, sum_source, final, removed, final <= sum_source AND (final >= max_carried - removed OR "table" = 'BlockRange') AS ok
         FROM (SELECT e.*, f.n - coalesce(l.n, 0) AS final, coalesce(l.n, 0) AS removed FROM expect e JOIN final_n f USING ("table") LEFT JOIN lost l USING ("table"))""",
+    "build_report": """SELECT bad = 0 AS ok, CAST(0 AS BIGINT) AS foreign_key_violations, CAST(0 AS BIGINT) AS rules_broken, CAST(0 AS BIGINT) AS tables_changed, bad AS n_errors,
+        (SELECT count(*) FROM md_held WHERE gid NOT IN (SELECT IndependentMediaId FROM gone_media)) AS n_files FROM (SELECT count(*) AS bad FROM
+          (SELECT e.*, f.n - coalesce(l.n, 0) AS final, coalesce(l.n, 0) AS removed FROM expect e JOIN final_n f USING ("table") LEFT JOIN lost l USING ("table"))
+        WHERE final > sum_source OR (final < max_carried - removed AND "table" <> 'BlockRange'))""",
     "roundtrip": "SELECT \"table\", n AS expected, n AS final, true AS same, true AS contents, CAST(0 AS BIGINT) AS dangling FROM final_n",
     "roundtrip_changed": """SELECT "table", n AS expected, CASE WHEN lost THEN 0 ELSE n END AS final, NOT lost AS same, NOT lost AND "table" <> 'Note' AS contents,
         CASE WHEN "table" = 'PlaylistItem' THEN n ELSE 0 END AS dangling FROM (SELECT *, "table" = 'PlaylistItemAccuracy' AS lost FROM final_n)""",

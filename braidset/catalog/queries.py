@@ -236,6 +236,18 @@ def _roundtrip_changed(spark: SparkSession, sf: str) -> DataFrame:
     return gate.prove_published(spark, root, 1)
 
 
+def _build_report(spark: SparkSession, sf: str) -> DataFrame:
+    """Verdict on the cleaned result as published and read back, with the media files it keeps."""
+    a, done = analysis(spark, sf), _cleaned(spark, sf, *cleanup.DEFAULTS)
+    root = f"{shared_dir(spark)}/braidset/out-{uuid.uuid4().hex}"
+    gate.publish(done.tables, root, 1, [])
+    seen = report.build_report(a, _default(spark, sf), done, gate.read_published(spark, root, 1))
+    long = lambda c: F.col(c).cast("bigint").alias(c)
+    one = F.lit(1).alias("_one")
+    return seen["validation"].select("*", one).join(seen["media"].select("*", one), "_one").select(
+        "ok", long("foreign_key_violations"), long("rules_broken"), long("tables_changed"), F.size("errors").cast("bigint").alias("n_errors"), long("n_files"))
+
+
 def _traceability(spark: SparkSession, sf: str) -> DataFrame:
     a, result = analysis(spark, sf), _default(spark, sf)
     done = validate.check_traceability(a.tables, a.lineage, result.tables, result.decisions, [])
@@ -583,6 +595,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "unique_violations": _validate_keyed(validate.unique_violations),
     "reconcile_counts": _reconcile_counts,
     "validation_report": _validation,
+    "build_report": _build_report,
     "roundtrip": _roundtrip,
     "roundtrip_changed": _roundtrip_changed,
     "health_damaged": _health_damaged,

@@ -200,22 +200,30 @@ def analysis_report(analysis: Analysis) -> dict[str, DataFrame]:
     }
 
 
-def build_report(analysis: Analysis, result, cleaned) -> dict[str, DataFrame]:
-    """What a reader sees after building: verdict, counts, clean-ups, digests, media left."""
-    from braidset.plans.validate import fingerprint, fk_violations, reconcile_counts, validation_report
+def build_report(analysis: Analysis, result, cleaned, written: dict[str, DataFrame] | None = None) -> dict[str, DataFrame]:
+    """What a reader sees after building: verdict, counts, broken rules, clean-ups, digests, media left.
 
-    sc = analysis.scope
+    With ``written`` (the tables read back from storage) the verdict is about those: as many rows as the result has, with the same
+    contents, no broken rule and no dangling reference.
+    """
+    from braidset.plans.validate import broken_rules, fingerprint, fk_violations, reconcile_counts, same_contents, validation_report
+
+    sc, tables = analysis.scope, cleaned.tables if written is None else written
     counts = reconcile_counts(
-        source_counts(analysis), dropped_counts(analysis), table_counts(cleaned.tables, sc), cleaned.removed(), sc
+        source_counts(analysis), dropped_counts(analysis), table_counts(tables, sc), cleaned.removed(), sc,
+        None if written is None else table_counts(cleaned.tables, sc),
     )
+    roundtrip = None if written is None else same_contents(cleaned.tables, written, sc)
+    rules = broken_rules(tables, sc)
     media = analysis.collected_media.select(*sc, "FilePath").join(
-        cleaned.tables["IndependentMedia"].select(*sc, "FilePath"), [*sc, "FilePath"], "left_semi"
+        tables["IndependentMedia"].select(*sc, "FilePath"), [*sc, "FilePath"], "left_semi"
     )
     return {
-        "validation": validation_report(fk_violations(cleaned.tables, sc), counts, sc),
+        "validation": validation_report(fk_violations(tables, sc), counts, sc, roundtrip, rules),
         "row_counts": counts,
+        "rules": rules,
         "decisions": result.decisions,
         "cleanup": cleaned.summary(),
-        "digests": fingerprint(cleaned.tables, sc),
+        "digests": fingerprint(tables, sc),
         "media": media.groupBy(*sc).agg(F.count("*").alias("n_files")),
     }

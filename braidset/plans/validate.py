@@ -116,7 +116,19 @@ def reconcile_counts(source_counts: DataFrame, dropped: DataFrame, final_counts:
     )
 
 
-def validation_report(fk: DataFrame, counts: DataFrame, scope: list[str], roundtrip: DataFrame | None = None) -> DataFrame:
+def broken_rules(tables: dict[str, DataFrame], keys: list[str]) -> DataFrame:
+    """Row rules and unique keys that some row breaks: ``[*keys, table, rule, violations]``."""
+    single = unique_violations(tables, keys).select(*keys, "table", F.concat(F.lit("unique "), "constraint").alias("rule"), "violations")
+    return constraint_violations(tables, keys).unionByName(single).where("violations > 0")
+
+
+def same_contents(expected: dict[str, DataFrame], written: dict[str, DataFrame], keys: list[str]) -> DataFrame:
+    """Whether a result and what is read back of it hold the same rows: ``[*keys, table, same]``."""
+    a, b = (fingerprint(t, keys).withColumnRenamed("digest", name).drop("n") for t, name in ((expected, "_a"), (written, "_b")))
+    return a.join(b, [*keys, "table"], "full_outer").select(*keys, "table", F.coalesce(F.col("_a") == F.col("_b"), F.lit(False)).alias("same"))
+
+
+def validation_report(fk: DataFrame, counts: DataFrame, scope: list[str], roundtrip: DataFrame | None = None, rules: DataFrame | None = None) -> DataFrame:
     """Verdict per scope with all errors and warnings (at most a few per table)."""
     broken = fk.groupBy(*scope).agg(F.sum("violations").alias("foreign_key_violations"))
     texts = counts.groupBy(*scope).agg(
@@ -134,6 +146,11 @@ def validation_report(fk: DataFrame, counts: DataFrame, scope: list[str], roundt
         lost = lost if scope else lost.withColumn("_one", F.lit(1))
         out = out.join(lost, one, "left")
         extra = F.concat(extra, F.array(F.when(F.col("tables_changed") > 0, F.lit("the written result reads back differently"))))
+    if rules is not None:
+        named = rules.groupBy(*scope).agg(F.count("*").alias("rules_broken"))
+        named = named if scope else named.withColumn("_one", F.lit(1))
+        out = out.join(named, one, "left").withColumn("rules_broken", F.coalesce("rules_broken", F.lit(0).cast("bigint")))
+        extra = F.concat(extra, F.array(F.when(F.col("rules_broken") > 0, F.format_string("%d rule(s) broken", "rules_broken"))))
     out = out.withColumn("errors", F.concat("errors", F.filter(extra, lambda e: e.isNotNull())))
     return out.withColumn("ok", F.size("errors") == 0).drop("_one")
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from braidset import schema
 from braidset.plans import cleanup, finalize as fin, report, validate
@@ -94,7 +95,26 @@ def test_clean_ups_leave_a_sound_result(world):
     left = {(r["owner"], r["LocationId"]) for r in clean.tables["Location"].collect()}
     assert left <= used
     serious = problems(Health(clean.tables, ["owner"], world.files.limit(0)).report(world.sources.select("owner").distinct())).collect()
-    assert {r["code"] for r in serious} <= {"C4", "C5"}
+    assert not serious  # duplicates are merged, everything unused is gone
+    assert sum(r["count"] for r in Health(clean.tables, ["owner"]).counts(["C4"]).collect()) == 0
+
+
+def test_reports_before_and_after_building(spark, world):
+    seen = report.analysis_report(world.analysis)
+    assert {r["owner"]: r["n_tables"] for r in seen["sources"].collect()}.keys() == set(FLEET)
+    assert seen["conflicts"].count() == world.analysis.conflicts.count() and seen["compatibility"].where("NOT ok").isEmpty()
+    assert {r["owner"]: r["n"] for r in seen["counts"].where("table = 'Note'").collect()} == Counter(r["owner"] for r in world.rows["Note"])
+    clean = cleanup.apply_cleanups(world.result.tables, ["owner"])
+    built = report.build_report(world.analysis, world.result, clean, clean.tables)
+    assert all(r["ok"] and not r["errors"] and not r["rules_broken"] for r in built["validation"].collect())
+    assert built["rules"].isEmpty() and built["decisions"].count() == world.result.decisions.count()
+    # A changed text, a lost note and a broken rule are in the verdict of their owner alone.
+    bad = {**clean.tables, "Note": clean.tables["Note"].where("owner <> 'owner3' OR NoteId > 1").withColumn(
+        "Title", F.when(F.col("owner") == "owner4", "other").otherwise(F.col("Title"))).withColumn("BlockType", F.when(F.col("owner") == "owner5", 9).otherwise(F.col("BlockType")))}
+    verdicts = {r["owner"]: r for r in report.build_report(world.analysis, world.result, clean, bad)["validation"].collect()}
+    assert {o for o, r in verdicts.items() if not r["ok"]} == {"owner3", "owner4", "owner5"}
+    assert verdicts["owner5"]["rules_broken"] == 1 and verdicts["owner4"]["tables_changed"] == 1 and verdicts["owner4"]["rules_broken"] == 0
+    assert any("rows written" in e for e in verdicts["owner3"]["errors"])
 
 
 def test_merging_again_adds_nothing(spark, world):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from datetime import datetime, timezone
 
 from pyspark.sql import functions as F
 
@@ -16,19 +17,28 @@ def evaluate(spark, values, column, ddl="string"):
 
 
 def test_timestamps_normalise(spark):
-    given = ["2026-03-15T11:02:40-0400", "2026-09-06T10:58:09.0048787-04:00", "2026-09-06T10:58:09.0048787Z", "2024-01-02 03:04:05", " 2024-01-02T03:04:05Z "]
+    given = ["2031-08-22T19:45:07-0330", "2030-12-01T00:00:59.9871234+05:45", "2030-12-01T00:00:59.98Z", "2029-06-30 23:59:58", "\t2028-02-29T12:00:00Z "]
     assert evaluate(spark, given, TS.normalize_ts) == [
-        "2026-03-15T11:02:40-04:00", "2026-09-06T10:58:09.004-04:00", "2026-09-06T10:58:09.004Z", "2024-01-02T03:04:05", "2024-01-02T03:04:05Z",
+        "2031-08-22T19:45:07-03:30", "2030-12-01T00:00:59.987+05:45", "2030-12-01T00:00:59.98Z", "2029-06-30T23:59:58", "2028-02-29T12:00:00Z",
     ]
 
 
 def test_timestamps_parse(spark):
-    same = evaluate(spark, ["2024-01-02T03:04:05Z", "2024-01-02T03:04:05.000Z", "2024-01-02T03:04:05+00:00", "2024-01-02 03:04:05"], TS.parse_ts)
-    assert same == [1704164645000] * 4
-    assert evaluate(spark, ["garbage", "", None, "2024-13-01T00:00:00Z", "2024-1-2", "T10:00:00"], TS.parse_ts) == [None] * 6
-    assert evaluate(spark, ["2026-03-15T11:02:40-0400", "2024", "2024-02", "2024-02-03", "2024-02-03T04:05Z"], TS.parse_ts) == [
-        1773586960000, 1704067200000, 1706745600000, 1706918400000, 1706933100000,
-    ]
+    noon = int(datetime(2028, 2, 29, 12, tzinfo=timezone.utc).timestamp() * 1000)
+    assert evaluate(spark, ["2028-02-29T12:00:00Z", "2028-02-29 12:00:00", "2028-02-29T17:45:00+05:45", "2028-02-29T12:00:00.000+00:00"], TS.parse_ts) == [noon] * 4
+    assert evaluate(spark, ["soon", "", None, "2027-02-29T00:00:00Z", "28-2-9", "T12:00"], TS.parse_ts) == [None] * 6
+    days = [int(datetime(*d, tzinfo=timezone.utc).timestamp() * 1000) for d in ((2031, 1, 1), (2031, 5, 1), (2031, 5, 6), (2031, 5, 6, 7, 8))]
+    assert evaluate(spark, ["2031", "2031-05", "2031-05-06", "2031-05-06T07:08Z"], TS.parse_ts) == days
+
+
+def test_keys_and_digests_as_columns(spark):
+    row = spark.range(1).selectExpr("5 AS PublicationLocationId", "2 AS Slot", "1 AS Type", "'red' AS Name")
+    got = row.select(K.bookmark_slot_key().alias("slot"), K.tag_key().alias("tag"), K.assignment_key(F.lit(7), F.lit("N"), F.lit(9)).alias("assigned"),
+                     hashing.bytes_to_hex(F.lit(b"\x00\xfe")).alias("hex")).first()
+    assert got["slot"].split(K.KEY_SEPARATOR) == ["5", "2"] and got["tag"].split(K.KEY_SEPARATOR) == ["1", "red"]
+    assert got["assigned"].split(K.KEY_SEPARATOR) == ["7", "N", "9"] and got["hex"] == "00fe"
+    guids = [r["g"] for r in spark.range(50).select(hashing.random_guid().alias("g")).collect()]
+    assert len(set(guids)) == 50 and all(re.fullmatch("[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}", g) for g in guids)
 
 
 def test_timestamps_order(spark):
