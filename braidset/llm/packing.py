@@ -9,8 +9,10 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from braidset.llm.common import bound_batches, tidied
 from braidset.operators.ordinals import global_ordinal
 from braidset.session import materialize
 
@@ -19,7 +21,7 @@ END_ID = 0
 #: Words that are kept with their ids; beyond that the most used half of as many stays.
 _MEMO_LIMIT = 240_000
 _BLOCK = 4096
-_SLICE_CHARS = 2 << 20
+_SLICE_BYTES = 2 << 20
 
 
 class _Words(dict):
@@ -134,17 +136,14 @@ def _encoder(path: str) -> Encoder:
 def _pieces(batches: Iterator[pa.RecordBatch], path: str, window: int, end_id: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     encoder = _encoder(path)
     for batch in batches:
-        texts = [t or "" for t in batch.column(1).to_pylist()]
-        cuts, size = [0], 0
-        for i, t in enumerate(texts):
-            size += len(t)
-            if size >= _SLICE_CHARS:
-                cuts.append(i + 1)
-                size = 0
-        for lo, hi in zip(cuts, [*cuts[1:], len(texts)]):
+        size = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        full = np.cumsum(size) // _SLICE_BYTES
+        cuts = [0, *(np.flatnonzero(np.diff(full)) + 1).tolist(), batch.num_rows]
+        for lo, hi in zip(cuts, cuts[1:]):
             if lo == hi:
                 continue
-            ids = [np.append(x, np.uint32(end_id)).astype("<u4") for x in encoder.encode(texts[lo:hi])]
+            texts = [t or "" for t in batch.column(1).slice(lo, hi - lo).to_pylist()]
+            ids = [np.append(x, np.uint32(end_id)).astype("<u4") for x in encoder.encode(texts)]
             sizes = np.array([len(x) for x in ids], np.int64)
             per = -(-sizes // window)
             row = np.repeat(np.arange(hi - lo), per)
@@ -170,8 +169,9 @@ def token_pieces(docs: DataFrame, path: str, window: int = WINDOW, end_id: int =
         T.StructField("doc_tokens", T.LongType()), T.StructField("ids", T.BinaryType()),
     ])
     schema = to_arrow_schema(kind)
+    bound_batches(docs.sparkSession)
     slim = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    return slim.mapInArrow(lambda batches: _pieces(batches, path, window, end_id, schema), kind)
+    return slim.mapInArrow(tidied(lambda batches: _pieces(batches, path, window, end_id, schema)), kind)
 
 
 class CapacityTree:
