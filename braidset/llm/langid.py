@@ -14,7 +14,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from braidset.llm.common import held_out
+from braidset.llm.common import bound_batches, held_out, tidied
 
 #: Documents of each language that the scores are learned from (expected number; drawn by a hash of doc_id).
 SAMPLE = 1500
@@ -22,16 +22,14 @@ BUCKETS = 1 << 16
 #: Cost of changing the language between two words, in the unit of the word scores.
 PENALTY = 12.0
 UNKNOWN = "und"
-# Numerals such as 1/2 in one character or Roman eight count as word characters but are no letters.
-_NUMERALS = "".join(c for c in map(chr, range(0x20000)) if c.isnumeric() and not c.isalpha() and not c.isdecimal())
-_WORD = re.compile(rf"[^\W\d_{_NUMERALS}]+")
+_WORD = re.compile(r"[^\W\d_]+")  # also takes numerals that are no letters, such as a half or Roman eight in one character
 _LONGEST = 32  # letters of one scored word; longer runs (scripts without spaces) are scored in parts
 _MEMO_LIMIT = 250_000
 _BLOCK = 20_000
-_ROWS = 500  # rows of a batch that are filtered at once
+_ROWS = 2000  # rows of a batch that are filtered at once
 _SLICE_WORDS = 800_000
-_SLICE_BYTES = 1 << 20
-_FILTER_MEMO = 120_000  # words with scores beside a filtered batch
+_SLICE_BYTES = 4 << 20
+_FILTER_MEMO = 200_000  # words with scores beside a filtered batch
 
 #: First code points of script ranges, in order.
 SCRIPTS = (
@@ -52,7 +50,10 @@ def script_of(letter: str) -> int:
 
 
 def words_of(text: str) -> list[str]:
+    """Runs of letters, lower-cased, the longest ones in parts."""
     found = _WORD.findall(text.lower())
+    if not "".join(found).isalpha():
+        found = [part for w in found for part in ("".join(c if c.isalpha() else " " for c in w).split() if not w.isalpha() else (w,))]
     if any(len(w) > _LONGEST for w in found):
         found = [w[i:i + _LONGEST] for w in found for i in range(0, len(w), _LONGEST)]
     return found
@@ -249,8 +250,9 @@ def language_spans(docs: DataFrame, model: Model, penalty: float = PENALTY) -> D
         T.StructField("score", T.DoubleType()), T.StructField("spans", T.ArrayType(span)),
     ])
     schema = to_arrow_schema(kind)
+    bound_batches(docs.sparkSession)
     slim = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    return slim.mapInArrow(lambda batches: _label(batches, model, penalty, schema), kind)
+    return slim.mapInArrow(tidied(lambda batches: _label(batches, model, penalty, schema)), kind)
 
 
 def _share_of_best(texts: pa.Array, model: Model, penalty: float, scorer: _Scorer) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -281,6 +283,7 @@ def known_language(docs: DataFrame, model: Model, least: float = 0.5, penalty: f
     The labels are those of ``language_spans``; no spans are made, record batches are filtered as they are, and what is held
     besides a batch is bounded by bytes of text. A text without a letter goes, a null one too; repeated rows go or stay together.
     """
+    bound_batches(docs.sparkSession)
     column = docs.columns.index("text")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -293,4 +296,4 @@ def known_language(docs: DataFrame, model: Model, least: float = 0.5, penalty: f
                 for first, best, share in _share_of_best(part.column(column), model, penalty, scorer):
                     yield part.slice(first, len(best)).filter(pa.array((best < len(model.langs)) & (share >= least)))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(tidied(keep), docs.schema)

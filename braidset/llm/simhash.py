@@ -8,12 +8,11 @@ every linked pair meets at the anchor where one of them lives; each anchor compa
 visitors on all 64 bits. Two parts have 2^27 anchors each and stay selective for billions of fingerprints; four parts have 2^12
 each, so beyond some millions of fingerprints their comparisons grow with the square (see the README).
 
-With a similarity of shingle sets asked for, links come from the sets alone (``shingle_links``).
+``neartexts`` finds near copies by their sets of shingles on the same anchors.
 """
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 
@@ -22,14 +21,12 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from braidset.llm.common import components, dealt, paired_blocks, whole_groups
+from braidset.llm.common import components
 from braidset.session import materialize
 
 THRESHOLD = 3
 #: Residents of one anchor that are compared in one group; larger anchors are split into blocks.
 BLOCK = 512
-#: Classes of shingle hashes whose counts order the shingles of a text, rare ones first.
-COUNTED = 1 << 18
 _WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -58,42 +55,19 @@ def simhash(text: str | None, words: int = 3) -> int:
     return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def sketch(text: str | None, words: int = 5) -> bytes:
-    """The distinct 64-bit hashes of a text's shingles, sorted."""
-    return np.unique(_shingle_hashes(text, words, 7)).tobytes()
-
-
-def resemblance(a: bytes, b: bytes) -> float:
-    """Jaccard similarity of two whole shingle sets."""
-    x, y = np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8")
-    both = len(np.intersect1d(x, y, assume_unique=True))
-    return 1.0 if not len(x) + len(y) else both / (len(x) + len(y) - both)
-
-
-def _fingerprint_batches(batches: Iterator[pa.RecordBatch], words: int, sketched: int) -> Iterator[pa.RecordBatch]:
+def _fingerprint_batches(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for at in range(0, whole.num_rows, 500):
             batch = whole.slice(at, 500)
-            texts = [t.as_py() for t in batch.column(1)]
-            found = np.fromiter((simhash(t, words) for t in texts), np.uint64, len(texts))
-            marks = pa.array([sketch(t, sketched) for t in texts] if sketched else [None] * len(texts), pa.binary())
-            same = pa.array([_content(t) for t in texts] if sketched else [None] * len(texts), pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64)), same, marks], ["doc_id", "fp", "content", "sketch"])
-
+            found = np.fromiter((simhash(t.as_py(), words) for t in batch.column(1)), np.uint64, batch.num_rows)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], ["doc_id", "fp"])
 
-def _content(text: str | None) -> bytes:
-    raw = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER)
-    return hashlib.blake2b(b" ".join(_WORDS.findall(raw)), digest_size=16).digest()
 
-
-def fingerprints(docs: DataFrame, words: int = 3, sketched: int = 0) -> DataFrame:
-    """(doc_id, fp, content, sketch) for every row; fp is the fingerprint as a signed long, 0 for texts without a word.
-
-    The sketch is that of shingles of ``sketched`` words, content a digest of the lower-cased words; both are null if that is 0.
-    """
+def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
+    """(doc_id, fp) for every row; fp is the fingerprint as a signed long, 0 for texts without a word."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     slim = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    return slim.mapInArrow(lambda batches: _fingerprint_batches(batches, words, sketched), f"doc_id {kind}, fp long, content binary, sketch binary")
+    return slim.mapInArrow(lambda batches: _fingerprint_batches(batches, words), f"doc_id {kind}, fp long")
 
 
 class Anchors:
@@ -255,126 +229,23 @@ def near_links(distinct: DataFrame, threshold: int = THRESHOLD, block: int = BLO
     return grouped.mapInArrow(lambda batches: _compare(batches, threshold), "a long, b long")
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts = np.zeros(COUNTED, np.int64)
-    for batch in batches:
-        for cell in batch.column(0):
-            counts += 0 if not cell.as_buffer().size else np.bincount(_slot(np.frombuffer(cell.as_buffer(), "<u8")), minlength=COUNTED)
-    used = np.flatnonzero(counts)
-    yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(counts[used])], ["slot", "n"])
-
-
-def _slot(hashes: np.ndarray) -> np.ndarray:
-    return (hashes % np.uint64(COUNTED)).astype(np.int64)
-
-
-def _prefixes(batches: Iterator[pa.RecordBatch], similarity: float, level: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """The first shingles of each set in the common order, rare ones first, with their place and the size of the set.
-
-    Two sets of the similarity share at least one of those: each leaves out fewer than the shingles they must share.
-    """
-    for batch in batches:
-        ids, hashes, places, sizes = [], [], [], []
-        for rid, cell in zip(batch.column(0).to_pylist(), batch.column(1)):
-            own = np.frombuffer(cell.as_buffer(), "<u8")
-            if not len(own):
-                continue
-            first = np.lexsort((own, level[_slot(own)]))[:len(own) - int(np.ceil(similarity * len(own) - 1e-9)) + 1]
-            ids.append(np.full(len(first), rid, np.int64))
-            hashes.append(own[first].view(np.int64))
-            places.append(np.arange(len(first), dtype=np.int32))
-            sizes.append(np.full(len(first), len(own), np.int32))
-        if ids:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (hashes, ids, places, sizes)], ["shingle", "cid", "place", "size"])
-
-
-def _may_link(size_a, place_a, size_b, place_b, similarity: float):
-    """Whether sets whose first common shingle has these places can reach the similarity; columns or arrays."""
-    least = similarity / (1 + similarity) * (size_a + size_b) - 1e-6
-    return (size_a - place_a >= least) & (size_b - place_b >= least)
-
-
-def _unlinked(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
-    """Pairs of different components in each group (shingle, rb, vb, role, cid, place, size, root) that can reach the similarity."""
-    for columns, starts in whole_groups(batches, 3):
-        for lo, hi in zip(starts[:-1].tolist(), starts[1:].tolist()):
-            role, cid, place, size, root = (c[lo:hi] for c in columns[3:8])
-            left, right = np.flatnonzero(role != 1), np.flatnonzero(role != 0)
-            if len(left) and len(right):
-                may = _may_link(size[left][:, None].astype(float), place[left][:, None], size[right][None, :], place[right][None, :], similarity)
-                x, y = np.nonzero(may & (root[left][:, None] != root[right][None, :]))
-                a, b = cid[left][x], cid[right][y]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
-
-
-def _alike(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        pairs = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())
-        yield batch.select([0, 1]).filter(pa.array([resemblance(x, y) >= similarity for x, y in pairs], pa.bool_()))
-
-
-def shingle_links(sets: DataFrame, classes: DataFrame, similarity: float, block: int = BLOCK) -> DataFrame:
-    """(a, b) between the ``cid`` of ``classes`` whose sets (rid, sketch of ``sets``) have that Jaccard similarity.
-
-    The links join exactly the classes that all links would join. Sets of the similarity share one of their first shingles in
-    any common order, so that the classes of a first shingle are a group. In a group all are held against one class; then,
-    block by block, those that are not yet joined by links. All links are decided on the whole sets.
-    """
-    counts = sets.select("sketch").mapInArrow(_counted, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
-    level = np.zeros(COUNTED, np.uint8)
-    level[counts["slot"].to_numpy()] = np.log2(counts["n"].to_numpy()).astype(np.uint8)
-    prefixes = sets.select("rid", "sketch").mapInArrow(lambda batches: _prefixes(batches, similarity, level), "shingle long, cid long, place int, size int")
-    prefixes = materialize(prefixes.join(classes.select("cid"), "cid", "left_semi"), "prefixes")
-    groups = prefixes.groupBy("shingle").agg(F.count("*").alias("_n"), F.min(F.struct("cid", "place", "size")).alias("first")).where("_n > 1")
-    live = materialize(prefixes.join(groups.select("shingle", "first"), "shingle"), "shared-prefixes")
-
-    def checked(pairs: DataFrame, name: str) -> DataFrame:
-        pairs = materialize(pairs.distinct(), name)
-        ends = pairs.select(F.col("a").alias("rid")).unionByName(pairs.select(F.col("b").alias("rid"))).distinct()
-        own = materialize(sets.select("rid", "sketch").join(ends, "rid", "left_semi"), name + "-sets")
-        both = pairs.join(own.select(F.col("rid").alias("a"), F.col("sketch").alias("x")), "a").join(own.select(F.col("rid").alias("b"), F.col("sketch").alias("y")), "b")
-        return materialize(both.select("a", "b", "x", "y").mapInArrow(lambda batches: _alike(batches, similarity), "a long, b long"), name + "-links")
-
-    may = _may_link(F.col("size"), F.col("place"), F.col("first.size"), F.col("first.place"), similarity)
-    stars = checked(live.where((F.col("cid") != F.col("first.cid")) & may).select(F.col("first.cid").alias("a"), F.col("cid").alias("b")), "stars")
-    roots = components(stars, "a", "b").withColumnRenamed("node", "cid")
-    rooted = live.drop("first").join(roots, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
-    rooted = materialize(rooted, "rooted-prefixes")
-    mixed = rooted.groupBy("shingle").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi")).where("_lo <> _hi").select("shingle")
-    placed = dealt(rooted.join(mixed, "shingle", "left_semi"), ["shingle"], F.col("cid"), block)
-    placed = placed.select("shingle", paired_blocks().alias("_place"), "cid", "place", "size", "root").select("shingle", "_place.*", "cid", "place", "size", "root")
-    grouped = placed.repartition("shingle", "rb", "vb").sortWithinPartitions("shingle", "rb", "vb")
-    rest = checked(grouped.mapInArrow(lambda batches: _unlinked(batches, similarity), "a long, b long"), "rest")
-    return stars.unionByName(rest)
-
-
-def simhash_groups(
-    docs: DataFrame, words: int = 3, threshold: int = THRESHOLD, similarity: float | None = None, compared_words: int = 5
-) -> DataFrame:
+def simhash_groups(docs: DataFrame, words: int = 3, threshold: int = THRESHOLD) -> DataFrame:
     """doc_id, fp, component_id: the smallest doc_id reachable over links between fingerprints.
 
     Texts are lower-cased (A-Z), cut into words at white space and into shingles of ``words``
     words, repeats included; a shorter text is one shingle, a text without words (or null) has
-    fingerprint zero and is linked like any other. Rows with equal fingerprints are one class and
-    compared once. With ``similarity`` given, rows with equal words are one class, and classes are linked by that Jaccard
-    similarity of their sets of shingles of ``compared_words`` words, however many bits of their fingerprints differ.
+    fingerprint zero and is linked like any other. Rows with equal fingerprints are one class and compared once.
 
     A null doc_id belongs to its class but names no component unless the component has no other id.
     Repeated rows get equal values each; an empty table gives no rows. Other columns are ignored.
     """
-    marked = fingerprints(docs, words, compared_words if similarity is not None else 0)
-    marked = materialize(marked.withColumn("rid", F.monotonically_increasing_id()), "fingerprints")
-    if similarity is None:
-        same, classes = "fp", materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.min("fp").alias("cid")), "classes")
-        links = near_links(classes, threshold)
-    else:
-        same, classes = "content", materialize(marked.groupBy("content").agg(F.min("doc_id").alias("first_id"), F.min("rid").alias("cid")), "classes")
-        links = shingle_links(marked, classes, similarity)
-    roots = components(links, "a", "b")
-    rooted = classes.join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+    marked = materialize(fingerprints(docs, words), "fingerprints")
+    classes = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "classes")
+    roots = components(near_links(classes, threshold), "a", "b")
+    rooted = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     names = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    known = materialize(rooted.select(same, "root").join(names, "root").select(same, "component_id"), "simhash-components")
-    return marked.select("doc_id", "fp", *({same} - {"fp"})).join(known, same).select("doc_id", "fp", "component_id")
+    known = materialize(rooted.select("fp", "root").join(names, "root").select("fp", "component_id"), "simhash-components")
+    return marked.join(known, "fp").select("doc_id", "fp", "component_id")
 
 
 def hex_digits(fp):
