@@ -17,16 +17,6 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def bound_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Arrow batches of ``rows`` rows from here on in this session, unless the session has a size of its own.
-
-    Batches are counted in rows; ten thousand whole texts, held on both sides of every Python worker, are what fills an executor.
-    """
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(name) == "10000":  # as Spark comes
-        spark.conf.set(name, str(rows))
-
-
 def tidied(work: Callable[..., Iterator[pa.RecordBatch]]) -> Callable[..., Iterator[pa.RecordBatch]]:
     """``work`` for ``mapInArrow``, after which the Python worker gives its freed memory back to the system.
 

@@ -14,7 +14,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from braidset.llm.common import bound_batches, held_out, tidied
+from braidset.llm.common import held_out, tidied
 
 #: Documents of each language that the scores are learned from (expected number; drawn by a hash of doc_id).
 SAMPLE = 1500
@@ -250,7 +250,6 @@ def language_spans(docs: DataFrame, model: Model, penalty: float = PENALTY) -> D
         T.StructField("score", T.DoubleType()), T.StructField("spans", T.ArrayType(span)),
     ])
     schema = to_arrow_schema(kind)
-    bound_batches(docs.sparkSession)
     slim = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     return slim.mapInArrow(tidied(lambda batches: _label(batches, model, penalty, schema)), kind)
 
@@ -283,7 +282,6 @@ def known_language(docs: DataFrame, model: Model, least: float = 0.5, penalty: f
     The labels are those of ``language_spans``; no spans are made, record batches are filtered as they are, and what is held
     besides a batch is bounded by bytes of text. A text without a letter goes, a null one too; repeated rows go or stay together.
     """
-    bound_batches(docs.sparkSession)
     column = docs.columns.index("text")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
