@@ -914,10 +914,12 @@ _FINAL = {
 def _compose(sql: str) -> str:
     """Statement with the common table expressions it needs, in dependency order."""
     needed: list[str] = []
+    seen: set[str] = set()
 
     def visit(text: str) -> None:
         for name in CTES:
-            if name not in needed and re.search(rf"\b(?:FROM|JOIN)\s+{name}\b", text):
+            if name not in seen and re.search(rf"\b(?:FROM|JOIN)\s+{name}\b", text):
+                seen.add(name)
                 visit(CTES[name])
                 needed.append(name)
 
