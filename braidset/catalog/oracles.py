@@ -917,8 +917,8 @@ def _compose(sql: str) -> str:
     seen: set[str] = set()
 
     def visit(text: str) -> None:
-        for name in CTES:
-            if name not in seen and re.search(rf"\b(?:FROM|JOIN)\s+{name}\b", text):
+        for name in dict.fromkeys(re.findall(r"\b(?:FROM|JOIN)\s+(\w+)", text)):
+            if name in CTES and name not in seen:
                 seen.add(name)
                 visit(CTES[name])
                 needed.append(name)
