@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from braidset import schema
 from braidset.plans import finalize as fin, validate
 from braidset.plans.analyze import Analysis
+from braidset.streaming import increment
 from braidset.streaming.increment import merge_increment, merge_late, touched_rows
 from fleet import FLEET, natural
 from rows import build, document, source
@@ -116,3 +117,28 @@ def test_a_small_late_snapshot_touches_little(spark, world):
     one["owner5"][0]["rows"]["Note"][0]["Guid"] = guid
     touched = {t: df.count() for t, df in touched_rows(merged, build(spark, one)[0], ["owner"]).items()}
     assert touched["Note"] == 1 and touched["Location"] >= 1 and not touched["Bookmark"] and not touched["TagMap"]
+
+
+def test_places_with_one_key_do_not_meet_in_pairs(spark, monkeypatch):
+    """Many merged and late locations with one full key: what is written stays in proportion to them."""
+    def shelf(device: str, n: int, shift: int) -> dict:
+        rows = {"Location": [document(shift + i, 7) for i in range(n)], "InputField": [{"LocationId": shift + i, "TextTag": "box", "Value": "x"} for i in range(n)],
+                "Bookmark": [{"BookmarkId": i + 1, "LocationId": shift + i, "PublicationLocationId": shift, "Slot": i} for i in range(n)]}
+        return source(device, rows)
+
+    merged, written = {t: df.drop("src") for t, df in build(spark, {"o": [shelf("A", 300, 1)]})[0].items()}, []
+    keep = increment.materialize
+    monkeypatch.setattr(increment, "materialize", lambda df, name, **o: written.append((name, keep(df, name, **o))) or written[-1][1])
+    part = touched_rows(merged, build(spark, {"o": [shelf("B", 200, 5000)]})[0], ["owner"])
+    assert {t: part[t].count() for t in ("Location", "InputField", "Bookmark")} == {"Location": 300, "InputField": 300, "Bookmark": 300}
+    assert not [(name, df.count()) for name, df in written if df.count() > 500]
+
+
+def test_a_path_of_two_media_does_not_multiply_items(spark):
+    """The thumbnail is the last medium with the path; the item stays one row."""
+    tables, sources, files = build(spark, {"player": [playlists(2)]})
+    analysis = Analysis(tables, sources, ["owner"], files)
+    assert sorted(r["Label"] for r in analysis.merged("PlaylistItem").collect()) == ["item 1", "item 1"]
+    assert analysis.playlist_item.ids.count() == 2
+    last = analysis.media.extra["paths"].where("FilePath = 'p1.png'").orderBy(F.desc("pk")).first()["new_path"]
+    assert {r["ThumbnailFilePath"] for r in analysis.merged("PlaylistItem").collect()} == {last}
