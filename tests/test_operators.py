@@ -238,3 +238,29 @@ def test_top_rows_are_pruned_before_the_shuffle(spark):
     top = top_rows(df, ["g"], [F.col("id")], 3)
     assert [r["id"] for r in top.orderBy("id").collect()] == [0, 1, 2]
     assert "WindowGroupLimit" in top._jdf.queryExecution().executedPlan().toString()
+
+
+def test_highlight_copies_agree_iff_their_ranges_do(spark):
+    """Repeated and missing ranges, null tokens: conflict where the multisets differ; numbers of equal ranges pair the copies."""
+    from braidset.plans.analyze import Analysis
+    from rows import build, document, source
+
+    held = {  # guid: ranges (start) of the copy on each device
+        "same": ([1, 1, None], [None, 1, 1], [1, None, 1]), "often": ([1, 1, 2], [1, 2, 2], [1, 1, 2]), "less": ([1, 2], [1], [1, 2]),
+        "bare": ([], [], []), "one": ([], [5], []), "null": ([None], [3], [None]),
+    }
+    devices = []
+    for d in range(3):
+        marks = [{"UserMarkId": 10 * d + i, "LocationId": 1, "UserMarkGuid": g} for i, g in enumerate(held)]
+        ranges = [(10 * d + i, start) for i, copies in enumerate(held.values()) for start in copies[d]]
+        devices.append(source(f"D{d}", {"Location": [document(1, 1)], "UserMark": marks, "BlockRange": [
+            {"BlockRangeId": 100 * d + n, "UserMarkId": m, "Identifier": 7, "StartToken": t} for n, (m, t) in enumerate(ranges)]}))
+    tables, sources, files = build(spark, {"o": devices})
+    a = Analysis(tables, sources, ["owner"], files)
+    assert {r["guid"] for r in a.user_mark.extra["groups"].where("is_conflict").collect()} == {"often", "less", "one", "null"}
+    assert a.merged("BlockRange").count() == 3
+    paired = a.block_range.ids.where("kind = 'mapped'").groupBy("gid").count().collect()
+    assert sorted(r["count"] for r in paired) == [3, 3, 3] and not a.block_range.ids.where("kind = 'dropped'").count()
+    # The equal ranges are numbered where they are read: the stage table has the numbers, one for every occurrence.
+    numbers = a._mark_ranges.where("StartToken = 1 AND src = 0").join(a.user_mark.extra["groups"].where("guid = 'same'").select("owner", "gid"), ["owner", "gid"])
+    assert sorted(r["nth"] for r in numbers.collect()) == [1, 2]
