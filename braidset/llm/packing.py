@@ -12,7 +12,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from braidset.llm.common import tidied
+from braidset.llm.common import keep_between_tasks, tidied
 from braidset.operators.ordinals import global_ordinal
 from braidset.session import materialize
 
@@ -135,6 +135,7 @@ def _encoder(path: str) -> Encoder:
 
 def _pieces(batches: Iterator[pa.RecordBatch], path: str, window: int, end_id: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     encoder = _encoder(path)
+    keep_between_tasks(__name__, _encoder.cache_clear)
     for batch in batches:
         size = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
         full = np.cumsum(size) // _SLICE_BYTES
