@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from braidset.llm import langid, quality, runindex
+from braidset.llm import common, langid, quality, runindex
 from braidset.llm.common import components, held_out, running_sum
 from braidset.llm.imatch import imatch_fingerprints
 from braidset.llm.mixing import mix_documents
@@ -658,3 +658,17 @@ def test_url_rules_and_link_trust(spark):
     assert rows[7] == ("", "", None, "allow") and rows[8][:2] == ("", "") and rows[9] == ("example.com", "", None, "allow")
     assert rows[10][2:] == ("com/", "allow") and rows[None][:2] == ("y.es", "/fr/")
     assert judge_urls(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_workers_let_other_operators_memos_go():
+    gone = []
+    common.keep_between_tasks("braidset.llm.packing", lambda: gone.append("packing"))
+
+    def work(batches):
+        yield from batches
+
+    work.__module__ = "braidset.llm.packing"
+    assert list(common.tidied(work)(iter([1]))) == [1] and gone == []
+    work.__module__ = "braidset.llm.langid"
+    assert list(common.tidied(work)(iter([1, 2]))) == [1, 2] and gone == ["packing"]
+    assert list(common.tidied(work)(iter([]))) == [] and gone == ["packing"]
