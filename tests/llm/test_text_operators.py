@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from braidset.llm import common, langid, quality, runindex
+from braidset.llm import common, langid, neartexts, quality, runindex
 from braidset.llm.common import components, held_out, running_sum
 from braidset.llm.imatch import imatch_fingerprints
 from braidset.llm.mixing import mix_documents
@@ -601,6 +601,32 @@ def test_families_of_variants(documents):
     assert groups[600] == 600 and groups[len(texts) - 5] == len(texts) - 6 and groups[len(texts) - 3] == len(texts) - 4
 
 
+def test_alike_in_bits_but_not_near_is_not_joined_with_all(documents, monkeypatch):
+    """Texts that share three quarters of their words are candidates by their bits; what is left of them to be confirmed is no square."""
+    rng = random.Random(17)
+    shared = words(rng, 120, pool=90_000)
+    texts = [shared + " " + words(rng, 25, pool=90_000) for _ in range(200)]
+    texts += [texts[0] + " end", texts[1] + " end"]
+    asked = []
+    real = neartexts._confirmed
+    monkeypatch.setattr(neartexts, "_confirmed", lambda pairs, sets, similarity: asked.append(pairs.count()) or real(pairs, sets, similarity))
+    groups = {r["doc_id"]: r["component_id"] for r in near_text_groups(documents(list(enumerate(texts)))).collect()}
+    assert groups == {**{n: n for n in range(200)}, 200: 0, 201: 1}
+    assert asked[1] <= len(texts)
+
+
+def test_sketches_leave_out_no_near_copies():
+    rng = np.random.default_rng(18)
+    for n in (0, 1, 5, 40, 400, 4000):
+        for similarity in (0.5, 0.8):
+            for cut in range(0, n // 2 + 1, max(1, n // 20)):
+                both = rng.integers(0, 1 << 63, n - cut, np.uint64)
+                x, y = (np.unique(np.concatenate([both, rng.integers(0, 1 << 63, k, np.uint64)])) for k in (cut, cut // 2))
+                alike = len(np.intersect1d(x, y)) >= similarity * len(np.union1d(x, y))
+                rows = [np.frombuffer(neartexts.sketch(s), np.uint64)[None, :] for s in (x, y)]
+                assert not alike or neartexts._may_be_near(*rows, similarity)[0]
+
+
 def test_near_copies_of_edges(documents):
     rows = [(i, t) for i, t in EDGES] + [(8, "ünï " * 30), (None, "no id HERE")]
     got = Counter((r["doc_id"], r["component_id"]) for r in near_text_groups(documents(rows)).collect())
