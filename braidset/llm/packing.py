@@ -6,6 +6,7 @@ import os
 from collections import defaultdict, deque
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -19,9 +20,11 @@ from braidset.session import materialize
 WINDOW = 1024
 END_ID = 0
 #: Words that are kept with their ids; beyond that the most used half of as many stays.
-_MEMO_LIMIT = 240_000
+_MEMO_LIMIT = 400_000
 _BLOCK = 4096
-_SLICE_BYTES = 2 << 20
+#: New words that are encoded as one text.
+_JOINED = 200
+_SLICE_BYTES = 4 << 20
 
 
 class _Words(dict):
@@ -77,53 +80,77 @@ class Encoder:
         for at in range(0, len(texts), _BLOCK):  # the library's results are far larger than their ids
             yield from [e.ids for e in self.tokenizer.encode_batch_fast(texts[at:at + _BLOCK], add_special_tokens=False)]
 
-    def _encode_words(self, words: list[str]) -> list[np.ndarray]:
-        """Ids of each word with its space; many words are encoded as one text and told apart by the ids that begin with a space."""
-        out: list[np.ndarray] = []
-        for at in range(0, len(words), 1000):
-            part = words[at:at + 1000]
-            ids = np.array(next(self._encode([" " + " ".join(part)])), np.uint32)
-            cuts = np.flatnonzero(self.spaced[ids])
-            if len(cuts) == len(part) and cuts[0] == 0:
-                out += np.split(ids, cuts[1:])
-            else:
-                out += [np.array(x, np.uint32) for x in self._encode([" " + w for w in part])]
-        return out
+    def _encode_words(self, words: list[str], space: str) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words, one after the other, each with ``space`` at its front, and the number of each word's ids.
+
+        Many words are encoded as one text and told apart by the ids that begin with a space.
+        """
+        ids, sizes = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        for at in range(0, len(words), _JOINED):
+            part = words[at:at + _JOINED]
+            if space:
+                found = np.array(next(self._encode([" " + " ".join(part)])), np.uint32)
+                cuts = np.flatnonzero(self.spaced[found])
+                if len(cuts) == len(part) and cuts[0] == 0:
+                    ids.append(found)
+                    sizes.append(np.diff(cuts, append=len(found)))
+                    continue
+            each = list(self._encode([space + w for w in part]))
+            ids.append(np.fromiter(chain.from_iterable(each), np.uint32))
+            sizes.append(np.fromiter(map(len, each), np.int64, len(each)))
+        return np.concatenate(ids), np.concatenate(sizes)
+
+    def _odd(self, words: list[str]) -> np.ndarray:
+        """Which words are empty, begin or end in white space, or hold an added token."""
+        odd = np.fromiter((not w or w != w.strip() for w in words), bool, len(words))
+        together = "".join(words)  # an added token of one word is in here too
+        for token in self.added:
+            if token in together:
+                odd |= np.fromiter((token in w for w in words), bool, len(words))
+        return odd
 
     def _settle(self, words: _Words, space: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         table = self.tables[id(words)]
         if words.waiting:
-            odd = np.fromiter((not w or w[0].isspace() or w[-1].isspace() or any(t in w for t in self.added) for w in words.waiting), bool, len(words.waiting))
-            plain = [w for w, o in zip(words.waiting, odd) if not o]
-            ids = self._encode_words(plain) if space else [np.array(x, np.uint32) for x in self._encode(plain)]
+            odd = self._odd(words.waiting)
+            ids, plain = self._encode_words([w for w, o in zip(words.waiting, odd.tolist()) if not o], space)
             sizes = np.zeros(len(odd), np.int64)
-            sizes[~odd] = np.fromiter(map(len, ids), np.int64, len(ids))
-            table[0] = np.concatenate([table[0], *ids])
+            sizes[~odd] = plain
+            table[0] = np.concatenate([table[0], ids])
             table[1] = np.concatenate([table[1], table[1][-1] + np.cumsum(sizes)])
             table[2] = np.concatenate([table[2], odd])
             words.waiting = []
         return tuple(table)
 
-    def encode(self, texts: Sequence[str]) -> list[np.ndarray]:
+    def encode(self, texts: Sequence[str] | pa.Array) -> list[np.ndarray]:
         if len(self.words) > _MEMO_LIMIT or len(self.firsts) > _MEMO_LIMIT:
             self._shrink()
-        look = self.words.__getitem__
-        parts = [t.split(" ") for t in texts]
-        first = np.fromiter((self.firsts[p[0]] for p in parts), np.int64, len(parts))
-        numbers = [np.array(list(map(look, p[1:])), np.int64) for p in parts]
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        parts = pc.split_pattern(texts, " ")
+        upto = np.concatenate([[0], np.cumsum(pc.list_value_length(parts).to_numpy(zero_copy_only=False))]).astype(np.int64)
+        told = parts.flatten().dictionary_encode()  # a word is looked up once, however often these texts have it
+        which, own = told.indices.to_numpy(zero_copy_only=False), told.dictionary.to_pylist()
+        first = np.fromiter((self.firsts[own[i]] for i in which[upto[:-1]].tolist()), np.int64, len(texts))
+        which = np.delete(which, upto[:-1])
+        upto = upto - np.arange(len(upto))  # first words are gone
+        uses = np.bincount(which, minlength=len(own))
+        used = np.flatnonzero(uses)
+        number = np.zeros(len(own), np.int64)
+        number[used] = np.fromiter(map(self.words.__getitem__, map(own.__getitem__, used.tolist())), np.int64, len(used))
+        numbers = number[which]
         w_ids, w_at, w_odd = self._settle(self.words, " ")
         f_ids, f_at, f_odd = self._settle(self.firsts, "")
-        self.hits = np.bincount(np.concatenate([np.arange(0), *numbers]), minlength=len(self.words)) + np.pad(self.hits, (0, len(self.words) - len(self.hits)))
-        out: list[np.ndarray] = []
-        whole = [i for i, (f, n) in enumerate(zip(first, numbers)) if (f_odd[f] and parts[i] != [""]) or (len(n) and w_odd[n].any())]
-        for f, n in zip(first, numbers):
-            sizes = w_at[n + 1] - w_at[n]
-            ends = np.cumsum(sizes)
-            total = int(ends[-1]) if len(ends) else 0
-            take = np.repeat(w_at[n] - (ends - sizes), sizes) + np.arange(total)
-            out.append(np.concatenate([f_ids[f_at[f]:f_at[f + 1]], w_ids[take]]))
-        for i, ids in zip(whole, self._encode([texts[i] for i in whole])):
-            out[i] = np.array(ids, np.uint32)
+        self.hits = np.pad(self.hits, (0, len(self.words) - len(self.hits)))
+        self.hits[number[used]] += uses[used]
+        sizes = w_at[numbers + 1] - w_at[numbers]
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        ids = w_ids[np.repeat(w_at[numbers] - ends[:-1], sizes) + np.arange(ends[-1])]
+        out = [np.concatenate([f_ids[lo:hi], ids[x:y]]) for lo, hi, x, y in zip(f_at[first], f_at[first + 1], ends[upto[:-1]], ends[upto[1:]])]
+        whole = f_odd[first] & (pc.binary_length(texts).to_numpy(zero_copy_only=False) > 0)
+        whole[np.searchsorted(upto, np.flatnonzero(w_odd[numbers]), side="right") - 1] = True
+        whole = np.flatnonzero(whole).tolist()
+        for i, found in zip(whole, self._encode(texts.take(pa.array(whole, pa.int64())).to_pylist())):
+            out[i] = np.array(found, np.uint32)
         return out
 
 
@@ -143,7 +170,7 @@ def _pieces(batches: Iterator[pa.RecordBatch], path: str, window: int, end_id: i
         for lo, hi in zip(cuts, cuts[1:]):
             if lo == hi:
                 continue
-            texts = [t or "" for t in batch.column(1).slice(lo, hi - lo).to_pylist()]
+            texts = pc.fill_null(batch.column(1).slice(lo, hi - lo), "")
             ids = [np.append(x, np.uint32(end_id)).astype("<u4") for x in encoder.encode(texts)]
             sizes = np.array([len(x) for x in ids], np.int64)
             per = -(-sizes // window)

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from braidset.llm import common, langid, neartexts, quality, runindex
+from braidset.llm import common, langid, neartexts, packing, quality, runindex
 from braidset.llm.common import components, held_out, running_sum
 from braidset.llm.imatch import imatch_fingerprints
 from braidset.llm.mixing import mix_documents
@@ -39,6 +39,25 @@ def words(rng, n, pool=400):
     return " ".join(f"w{rng.randrange(pool)}x{rng.randrange(9)}" for _ in range(n))
 
 
+def test_words_are_looked_up_once_for_many_texts():
+    """However often the texts of a slice have a word; ids are the library's, odd words and white space included."""
+    asked = []
+
+    class Asked(packing._Words):
+        def __getitem__(self, word):
+            asked.append(word)
+            return super().__getitem__(word)
+
+    encoder, seen = Encoder(BPE), Asked()
+    encoder.tables[id(seen)] = encoder.tables.pop(id(encoder.words))
+    encoder.words = seen
+    texts = ["the cat and the dog", "", " ", "cat  the", "the\ncat the\n", "a<|endoftext|> the", "dog the cat"] * 40
+    got = encoder.encode(pa.array(["not in the slice", *texts]).slice(1))
+    assert [x.tolist() for x in got] == [e.ids for e in Tokenizer.from_file(BPE).encode_batch(texts, add_special_tokens=False)]
+    assert len(asked) == len(set(asked)) and {"the", "cat", "and", "dog"} <= set(asked)
+    assert encoder.hits[seen["the"]] == 40 * 4
+
+
 # ---------------------------------------------------------------- shared parts
 def test_components_of_paths_stars_and_cycles(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, i) for i in range(101, 160)] + [(200, 201), (201, 202), (202, 200), (300, 300)]
