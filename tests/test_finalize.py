@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from braidset import schema
-from braidset.plans import analyze, finalize as fin
+from braidset.plans import analyze, cleanup, finalize as fin
 from rows import build, document, source
 
 
@@ -33,3 +33,33 @@ def test_tables_are_made_on_first_use(spark, monkeypatch):
     ranges = {(r["UserMarkId"], r["Identifier"]) for r in result.tables["BlockRange"].collect()}
     colors = {(r["UserMarkId"], r["ColorIndex"]) for r in result.tables["UserMark"].collect()}
     assert ranges == colors and made.count("kept-marks") == 1
+
+
+def test_clean_ups_make_only_the_tables_they_read(spark, monkeypatch):
+    """Media are cleaned without notes, highlights, ranges or decisions; notes without ranges' ids; what is left unmade is made later."""
+    def device(color):
+        return source("Device", {
+            "Location": [document(1, 5)],
+            "UserMark": [{"UserMarkId": 1, "LocationId": 1, "UserMarkGuid": "g", "ColorIndex": color}],
+            "BlockRange": [{"BlockRangeId": 7, "UserMarkId": 1, "Identifier": color}],
+            "Note": [{"NoteId": 1, "Guid": "n", "LocationId": 1, "UserMarkId": 1, "Content": str(color)}, {"NoteId": 2, "Guid": "blank"}],
+            "IndependentMedia": [{"IndependentMediaId": 1, "FilePath": "a.jpg", "Hash": "h"}],
+        })
+
+    tables, sources, files = build(spark, {"o": [device(1), device(2)]})
+    made = []
+    real = fin.materialize
+    for module in (analyze, fin, cleanup):
+        monkeypatch.setattr(module, "materialize", lambda df, name, **options: made.append(name) or real(df, name, **options))
+    result = fin.finalize(analyze.Analysis(tables, sources, ["owner"], files))
+    chosen = lambda *names: {n: n in names for n in cleanup.DEFAULTS}
+    media = cleanup.apply_cleanups(result.tables, ["owner"], chosen("unusedMedia"))
+    assert media.tables["IndependentMedia"].count() == 0 and [(r["table"], r["removed"]) for r in media.removed().collect()] == [("IndependentMedia", 1)]
+    assert not [n for n in made if n in ("decisions", "conflicts", "mark-ranges", "note-tagged") or n.startswith("final-")]
+    notes = cleanup.apply_cleanups(result.tables, ["owner"], chosen("emptyNotes"))
+    assert [r["Guid"] for r in notes.tables["Note"].collect()] == ["n"] and [(r["action"], r["n"]) for r in notes.summary().collect()] == [("emptyNotes", 1)]
+    assert made.count("decisions") == 1 and [n for n in made if n.startswith("final-")] == ["final-Note"] and "range-kept" not in made
+    assert {t: df.count() for t, df in notes.tables.items() if df.count()} == {"Location": 1, "UserMark": 1, "BlockRange": 1, "Note": 1, "IndependentMedia": 1}
+    assert [r["kind"] for r in result.decisions.orderBy("kind").collect()] == ["note", "userMark"] and made.count("decisions") == 1
+    nothing = cleanup.apply_cleanups(result.tables, ["owner"], chosen())
+    assert nothing.summary().count() == 0 and nothing.removed().count() == 0
