@@ -634,6 +634,23 @@ def test_alike_in_bits_but_not_near_is_not_joined_with_all(documents, monkeypatc
     assert asked[1] <= len(texts)
 
 
+def test_pairs_to_confirm_follow_the_texts_not_their_pairs(documents, monkeypatch):
+    """A family of near copies, and texts alike in their bits only, at anchors of many blocks: a pair or so for each text is confirmed."""
+    rng = random.Random(21)
+    monkeypatch.setattr(neartexts, "BLOCK", 16)
+    shared, parts = words(rng, 120, pool=90_000), words(rng, 200, pool=90_000).split()
+    texts = [shared + " " + words(rng, 25, pool=90_000) for _ in range(150)]
+    for _ in range(150):
+        places = rng.sample(range(200), 2)
+        texts.append(" ".join(f"edit{rng.randrange(10**6)}" if at in places else w for at, w in enumerate(parts)))
+    asked = []
+    real = neartexts._confirmed
+    monkeypatch.setattr(neartexts, "_confirmed", lambda pairs, sets, similarity: asked.append(pairs.count()) or real(pairs, sets, similarity))
+    groups = {r["doc_id"]: r["component_id"] for r in near_text_groups(documents(list(enumerate(texts)))).collect()}
+    assert groups == {n: min(n, 150) for n in range(300)}
+    assert sum(asked) <= 3 * len(texts), asked
+
+
 def test_sketches_leave_out_no_near_copies():
     rng = np.random.default_rng(18)
     for n in (0, 1, 5, 40, 400, 4000):
