@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from braidset import schema
-from braidset.plans import analyze, cleanup, finalize as fin
+from braidset.plans import analyze, cleanup, finalize as fin, health
 from rows import build, document, source
 
 
@@ -63,3 +63,43 @@ def test_clean_ups_make_only_the_tables_they_read(spark, monkeypatch):
     assert [r["kind"] for r in result.decisions.orderBy("kind").collect()] == ["note", "userMark"] and made.count("decisions") == 1
     nothing = cleanup.apply_cleanups(result.tables, ["owner"], chosen())
     assert nothing.summary().count() == 0 and nothing.removed().count() == 0
+
+
+def test_conflicts_of_notes_need_no_ranges(spark, monkeypatch):
+    """Notes, their candidates and their conflicts are made without ranges of highlights; links to highlights are those of the whole analysis."""
+    def device(color):
+        return source("Device", {
+            "Location": [document(1, 5)],
+            "UserMark": [{"UserMarkId": 1, "LocationId": 1, "UserMarkGuid": "g", "ColorIndex": color}, {"UserMarkId": 2, "LocationId": 9, "UserMarkGuid": "lost"}],
+            "BlockRange": [{"BlockRangeId": 7, "UserMarkId": 1, "Identifier": color}],
+            "Note": [{"NoteId": n, "Guid": f"n{n}", "LocationId": 1, "UserMarkId": n, "Content": str(color)} for n in (1, 2)],
+        })
+
+    tables, sources, files = build(spark, {"o": [device(1), device(2)]})
+    made = []
+    real = analyze.materialize
+    monkeypatch.setattr(analyze, "materialize", lambda df, name, **options: made.append(name) or real(df, name, **options))
+    analysis = analyze.Analysis(tables, sources, ["owner"], files)
+    candidates = analysis.note.extra["candidates"].select("NoteId", "UserMarkId").distinct().collect()
+    assert sorted((r["NoteId"], r["UserMarkId"]) for r in candidates) == [(1, 1), (2, None)]
+    assert {r["kind"]: r["n_candidates"] for r in analysis.conflicts_of("note").collect()} == {"note": 2}
+    assert not {"mark-ranges", "mark-groups", "field-copies", "conflicts-userMark"} & set(made)
+    kinds = [r["kind"] for r in analysis.conflicts.collect()]
+    assert sorted(kinds) == ["note", "note", "userMark"] and made.count("conflicts-note") == made.count("mark-ranges") == 1
+
+
+def test_equal_highlights_are_found_once_for_a_report(spark, monkeypatch):
+    """Both checks on equal highlights and the ids in their samples read one table, and only sampled groups are numbered."""
+    marks = [{"UserMarkId": n, "LocationId": 1, "UserMarkGuid": f"g{n}", "ColorIndex": n % 2} for n in range(1, 6)]
+    tables, _, _ = build(spark, {"o": [source("Device", {
+        "Location": [document(1, 5)], "UserMark": marks,
+        "BlockRange": [{"BlockRangeId": n, "UserMarkId": n, "Identifier": 3} for n in range(1, 6)],
+    })]})
+    made = []
+    real = health.materialize
+    for module in (health, cleanup):
+        monkeypatch.setattr(module, "materialize", lambda df, name, **options: made.append(name) or real(df, name, **options))
+    report = {r["code"]: r for r in health.Health(tables, ["owner"]).report().where("code IN ('C4', 'C5')").collect()}
+    assert report["C4"]["count"] == 3 and report["C5"]["count"] == 4
+    assert any("#1, #3, #5" in s for s in report["C4"]["samples"]) and "#1, #2, #3, #4, #5" in report["C5"]["samples"][0]
+    assert made.count("mark-prints") == made.count("styled-marks") == 1
