@@ -8,8 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from braidset import schema
-from braidset.plans import finalize as fin, validate
+from braidset.plans import analyze, finalize as fin, validate
 from braidset.plans.analyze import Analysis
+from braidset.sources import publish
 from braidset.streaming import increment
 from braidset.streaming.increment import merge_increment, merge_late, touched_rows
 from fleet import FLEET, natural
@@ -142,3 +143,35 @@ def test_a_path_of_two_media_does_not_multiply_items(spark):
     assert analysis.playlist_item.ids.count() == 2
     last = analysis.media.extra["paths"].where("FilePath = 'p1.png'").orderBy(F.desc("pk")).first()["new_path"]
     assert {r["ThumbnailFilePath"] for r in analysis.merged("PlaylistItem").collect()} == {last}
+
+
+def test_one_table_of_a_late_merge_makes_only_what_it_needs(spark, world, monkeypatch):
+    """Late notes need no ranges, no decisions on highlights and none of the tables that hang on those."""
+    about = world[1]
+    merged = {t: fin.materialize(df, f"early-{t}") for t, df in world[0].items()}
+    late, sources, files = build(spark, LATE)
+    made = []
+    for module in (increment, analyze, fin, publish):
+        real = module.materialize
+        monkeypatch.setattr(module, "materialize", lambda df, name, real=real, **options: made.append(name) or real(df, name, **options))
+    done = merge_late(publish.accepted_rows(merged, ["owner"]), about, late, sources, ["owner"], files).finalize()
+    assert done.tables["Note"].count() and "rejected-Note" in made and "touched-Note" in made and "decisions-note" in made
+    assert not {"mark-ranges", "conflicts-userMark", "decisions", "range-kept", "bookmark-copies", "items"} & set(made)
+    assert not [n for n in made if n.endswith("-BlockRange")]
+    assert done.decisions.count() >= 0 and "decisions-userMark" in made
+
+
+def test_written_tables_are_checked_without_a_copy(spark, monkeypatch):
+    """Rows of a written table are told apart where they lie, also equal ones; results are those of any other table."""
+    place = [document(1, 1), document(1, 1), document(2, 2)]
+    tables = {t: df.drop("src") for t, df in build(spark, {"o": [source("A", {"Location": place, "Note": [{"NoteId": 1, "Guid": "n", "LocationId": 9, "Content": "x"}]})]})[0].items()}
+    made, real = [], publish.materialize
+    written = {t: real(df, f"given-{t}") for t, df in tables.items()}
+    monkeypatch.setattr(publish, "materialize", lambda df, name, **options: made.append(name) or real(df, name, **options))
+    rejects, accepted = publish.find_rejects(written, ["owner"])
+    assert not [n for n in made if n.startswith("checked-")]
+    assert sorted((r["table"], r["rule"], r["row_key"]) for r in rejects.collect()) == [
+        ("Location", "unique primary key", "1"), ("Note", "LocationId refers to Location", "1")]
+    others = publish.find_rejects(tables, ["owner"])
+    assert sorted(map(repr, others[0].collect())) == sorted(map(repr, rejects.collect()))
+    assert {t: Counter(map(repr, df.collect())) for t, df in accepted.items()} == {t: Counter(map(repr, df.collect())) for t, df in others[1].items()}
